@@ -11,7 +11,7 @@ from collections import defaultdict
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD_TABLE, column, map_batches, texts
@@ -67,6 +67,33 @@ def searchers(items: Iterable[tuple[int, str]], window: int) -> list[WuManber]:
     return list(by_length.values())
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterable[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of about ``block_bytes`` of text; null texts and ids are left out."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).dropna()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // block_bytes))
+    for k in range(n):
+        yield [(r.item, r.text) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()]
+
+
+class _Scan:
+    """What a task needs to search texts for one block: tables are built once a task."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], window: int):
+        self.held, self.window, self.tables = spark.sparkContext.broadcast(items), window, None
+
+    def __getstate__(self):
+        return {"held": self.held, "window": self.window, "tables": None}
+
+    def __call__(self, words: list[bytes]) -> Iterable[tuple[int, int, set[int]]]:
+        """(first word, last word, items) of each occurrence."""
+        if self.tables is None:
+            self.tables = searchers(self.held.value, self.window)
+        for s in self.tables:
+            for at, those in s.search(words):
+                yield at, at + s.length - 1, those
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
     """(id, n_words, spans array<struct<first, last>>, items array<long>) of every document.
 
@@ -75,29 +102,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     same tasks, so a larger benchmark takes longer and no more memory.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item"), F.col("text").cast("string").alias("text")).dropna()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // block_bytes))
     out = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"),
         F.expr("cast(array() as array<struct<first: long, last: long>>)").alias("spans"), F.expr("cast(array() as array<long>)").alias("items"),
     )
     span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
-    for k in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).collect()  # one block
-        held = spark.sparkContext.broadcast([(r.item, r.text) for r in rows])
-        cache: dict = {}
+    for items in _blocks(benchmark, block_bytes):
+        scan = _Scan(spark, items, window)
 
-        def run(batch: pa.RecordBatch, held=held, cache=cache) -> pa.RecordBatch:
-            if "s" not in cache:
-                cache["s"] = searchers(held.value, window)
+        def run(batch: pa.RecordBatch, scan=scan) -> pa.RecordBatch:
             counts, spans, found = [], [], []
             for t, old, had in zip(texts(batch), column(batch, "spans").to_pylist(), column(batch, "items").to_pylist()):
                 words, hits, ids = words_of(t), [(s["first"], s["last"]) for s in old], set(had)
-                for s in cache["s"]:
-                    for at, those in s.search(words):
-                        hits.append((at, at + s.length - 1))
-                        ids |= those
+                for first, last, those in scan(words):
+                    hits.append((first, last))
+                    ids |= those
                 runs: list[list[int]] = []
                 for a, b in sorted(hits):
                     if runs and a <= runs[-1][1] + 1:
@@ -112,3 +131,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
         out = map_batches(out, run, out.schema)
     return out.drop("text").withColumnRenamed("id", id_col)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+    """The documents in which no item's window occurs, with their columns as they are."""
+    for items in _blocks(benchmark, block_bytes):
+        scan = _Scan(docs.sparkSession, items, window)
+
+        def run(batch: pa.RecordBatch, scan=scan) -> pa.RecordBatch:
+            return batch.filter(pa.array([next(iter(scan(words_of(t))), None) is None for t in texts(batch, text_col)], pa.bool_()))
+
+        docs = map_batches(docs, run, docs.schema)
+    return docs

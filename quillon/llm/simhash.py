@@ -99,25 +99,32 @@ def golay_keys(fingerprints: np.ndarray, probe: bool) -> tuple[np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def simhash(text: bytes, shingle: int = 3) -> int:
-    """64-bit fingerprint of a text's word shingles: a bit is set if it is set in over half the XXH64 values."""
+def _hashes(text: bytes, shingle: int, digest) -> bytes:
+    """Digests of a text's word shingles, in order, repeats included; of the whole sequence where it is shorter."""
     words = text.lower().split()
     if not words:
-        return 0
-    h = xxhash.xxh64_intdigest
+        return b""
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return h(joined, 42)
+        return digest(joined)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(words) - shingle + 1].tolist()
-    ends = ends[shingle - 1 :].tolist()
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(starts), 32768):
-        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts[at : at + 32768], ends[at : at + 32768])], ">u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int32)
-    bits = np.packbits(total * 2 > len(starts))
-    return int.from_bytes(bits.tobytes(), "big")
+    return b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[shingle - 1 :].tolist())])
+
+
+def _majority(digests: bytes, size: int) -> bytes:
+    """Bits set in over half of the digests of ``size`` bytes."""
+    rows = np.frombuffer(digests, np.uint8).reshape(-1, size)
+    total = np.zeros(8 * size, np.int64)
+    for at in range(0, len(rows), 32768):
+        total += np.unpackbits(rows[at : at + 32768], axis=1).sum(0, dtype=np.int32)
+    return np.packbits(total * 2 > len(rows)).tobytes()
+
+
+def simhash(text: bytes, shingle: int = 3) -> int:
+    """64-bit fingerprint of a text's word shingles: a bit is set if it is set in over half the XXH64 values."""
+    return int.from_bytes(_majority(_hashes(text, shingle, lambda x: xxhash.xxh64_digest(x, 42)), 8), "big")
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,15 +166,130 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     """(id, fingerprint hex, component_id): documents linked through fingerprints that differ in few bits.
 
     Equal fingerprints form one class that is stored and looked up once, so copies cost no pairs.  Null or empty texts
-    have fingerprint zero and are linked like any other.  A null id stays in the result, and joins no other row's id.
+    have fingerprint zero and are linked like any other.  component_id is the smallest id of the component, null only if it
+    has none; repeated rows stay.
     """
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fps")
-    classes = written(fps.groupBy("fp").agg(F.min("id").alias("node")), "classes")
-    links = near_links(classes, distance)
-    nodes = classes.filter("node is not null")
-    edges = links.join(nodes.select(F.col("fp").alias("a"), F.col("node").alias("u")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("node").alias("v")), "b").select("u", "v")
-    found = components(edges)
-    classes = classes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "classes")
+    found = components(near_links(classes, distance).select(F.col("a").alias("u"), F.col("b").alias("v")))
+    grouped = written(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "grouped")
+    least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     # a fingerprint that a third of all rows share is split by the adaptive skew join
-    out = fps.join(classes, "fp")
+    out = fps.join(grouped.join(least, "component").select("fp", "component_id"), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Bits of a wide fingerprint: eight Golay segments and eight bits that only the verification sees.
+WIDE = 192
+
+
+def wide_fingerprint(text: bytes, shingle: int) -> bytes:
+    """192-bit fingerprint, as 24 bytes."""
+    return _majority(_hashes(text, shingle, lambda x: xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x, 1)), WIDE // 8)
+
+
+def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row numbers, keys) of fingerprints (rows of 24 bytes): four pairs of segments, every pair of near indices."""
+    bits = np.unpackbits(prints, axis=1)[:, : 8 * 23].reshape(len(prints), 8, 23)
+    seg = bits.astype(np.int64) @ (1 << np.arange(22, -1, -1))
+    rows, keys = [], []
+    for pair in range(4):
+        a, b = near_indices(seg[:, 2 * pair], 23), near_indices(seg[:, 2 * pair + 1], 23)
+        ua, ub = _distinct(a), _distinct(b)
+        ra, ca = np.nonzero(ua)
+        cb, counts = np.nonzero(ub)[1], ub.sum(1)
+        starts = np.cumsum(counts) - counts
+        rep = counts[ra]
+        r = np.repeat(ra, rep)
+        within = np.arange(len(r)) - np.repeat(np.cumsum(rep) - rep, rep)
+        rows.append(r)
+        keys.append(pair << 24 | np.repeat(a[ra, ca], rep) << 12 | b[r, cb[starts[r] + within]])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
+    return np.unique(np.frombuffer(_hashes(text, shingle, lambda x: xxhash.xxh64_digest(x, 42)), ">u8").astype(np.uint64).view(np.int64))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted sets; two empty ones are alike."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    every = len(a) + len(b) - both
+    return both / every if every else 1.0
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, bits: int = 29, text_col: str = "text") -> DataFrame:
+    """(d, component): texts (by XXH64 of their lower-cased words) that chains of similar texts connect.
+
+    Links are pairs whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more, verified exactly.
+    Candidates come from 192-bit fingerprints, of two-word shingles because an edit changes fewer of these: pairs of Golay
+    segments give 2 x 12 key bits for each pair of near indices, and ``bits`` at most may differ.
+    """
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = texts(batch)
+        w = np.frombuffer(b"".join([wide_fingerprint(x, print_shingle) or bytes(24) for x in t]), ">i8").astype(np.int64).reshape(-1, 3)
+        sets = [shingle_set(x, shingle) for x in t]
+        arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
+        return pa.RecordBatch.from_arrays([pa.array([same_words(x) for x in t], pa.int64()), *(pa.array(w[:, k]) for k in range(3)), arrays], ["d", "w0", "w1", "w2", "s"])
+
+    texts_of = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), prints, "d long, w0 long, w1 long, w2 long, s array<long>")
+    # copies of a text leave here; the rest is one row for each different text
+    every = written(texts_of.dropDuplicates(["d"]), "shingles")
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        cols = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("d", "w0", "w1", "w2")]
+        out = []
+        for at in range(0, len(cols[0]), 1024):
+            part = [c[at : at + 1024] for c in cols]
+            rows, keys = wide_keys(np.stack(part[1:], 1).astype(">i8").view(np.uint8).reshape(-1, 24))
+            out.append([keys, *(c[rows] for c in part)])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "d", "w0", "w1", "w2"])
+
+    rows = map_batches(every.select("d", "w0", "w1", "w2").repartition(n, "d"), keys, "key long, d long, w0 long, w1 long, w2 long")
+    rows = written(rows, "keys")
+    other = rows.select("key", *(F.col(c).alias(c + "_") for c in ("d", "w0", "w1", "w2")))
+    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in ("w0", "w1", "w2"))
+    pairs = written(rows.join(other, "key").filter("d < d_").filter(differ <= bits).select("d", "d_").distinct(), "pairs")
+    sets = every.select("d", "s")
+    both = pairs.join(sets, "d").withColumnRenamed("s", "x").join(sets.select(F.col("d").alias("d_"), F.col("s").alias("y")), "d_")
+
+    def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
+        x, y = column(batch, "x"), column(batch, "y")
+        ok = [jaccard(x[k].values.to_numpy(), y[k].values.to_numpy()) >= similarity for k in range(batch.num_rows)]
+        return pa.RecordBatch.from_arrays([column(batch, "d"), column(batch, "d_")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    found = components(map_batches(both.select("d", "d_", "x", "y"), verified, "u long, v long"))
+    return every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component"))
+
+
+def same_words(text: bytes) -> int:
+    """Signed XXH64 of a text's lower-cased words: equal for texts that differ in case or white space only."""
+    h = xxhash.xxh64_intdigest(b" ".join(text.lower().split()), 7)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row, that of the smallest id (null last), of each group of similar texts; see similar_texts.
+
+    Texts without words are one group.  Rows alike in id and words count as one.  All columns stay as they are.
+    """
+    names = docs.columns
+    mark = next(x for x in ("_words", *(f"_words{k}" for k in range(len(names) + 1))) if x not in names)
+    schema = docs.select(F.lit(0).cast("long").alias(mark), "*").schema
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([same_words(t) for t in texts(batch, text_col)], pa.int64()), *batch.columns], [mark, *names])
+
+    marked = map_batches(docs, run, schema)
+    groups = similar_texts(docs, similarity, shingle, text_col=text_col)
+
+    def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([column(batch, "id"), pa.array([same_words(t) for t in texts(batch)], pa.int64())], ["id", "d"])
+
+    ids = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), narrow, "id long, d long")
+    first = ids.groupBy("d").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("i"))
+    best = first.join(groups, "d").groupBy("component").agg(F.min(F.struct("i", "d")).alias("b")).select(F.col("b.i.id").alias("_id"), F.col("b.d").alias("_d"))
+    kept = marked.join(best.hint("shuffle_hash"), (F.col(mark) == F.col("_d")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return kept.dropDuplicates([mark, id_col]).select(*names)

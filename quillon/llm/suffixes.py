@@ -215,7 +215,7 @@ def repeats(base: DataFrame, length: int) -> DataFrame:
     per_text = per_text.join(owner, ["d", "nb"])
     source = packed(base).withColumn("id", F.coalesce("id", F.lit(-(2**63))))
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def segments(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
         z = zstandard.ZstdDecompressor()
         for data, cuts in zip(column(batch, "z").to_pylist(), column(batch, "cuts").to_pylist()):
@@ -228,7 +228,7 @@ def repeats(base: DataFrame, length: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "seg", "bytes", "n", "a", "head", "back"])
 
     joined = source.join(per_text.hint("shuffle_hash"), ["id", "d", "nb"]).select("z", "cuts")
-    suffixes = map_batches(joined, cut, "key long, seg long, bytes binary, n long, a long, head binary, back binary")
+    suffixes = map_batches(joined, segments, "key long, seg long, bytes binary, n long, a long, head binary, back binary")
     suffixes = written(suffixes.select("key", "seg", "bytes", "n", "a"), "suffixes")
     head = F.expr("substring(bytes, int(a) + 1)")
     back = F.expr("reverse(hex(substring(bytes, 1, int(a))))")
@@ -260,33 +260,59 @@ def kept_text(text: bytes, starts: list[tuple[int, int]], length: int) -> tuple[
     return b"".join([*kept, text[at:]]), [(a, b) for a, b in removed]
 
 
-def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): each document without its repeated bytes.
+def _known(base: DataFrame, length: int) -> DataFrame:
+    """(d, nb, copies, starts) of the texts that lose bytes: copies, and texts with repeated windows."""
+    copies = base.groupBy("d", "nb").agg(F.count("*").alias("copies")).filter((F.col("copies") > 1) & (F.col("nb") >= length))
+    return copies.join(repeats(base, length), ["d", "nb"], "full").select("d", "nb", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
+
+
+def _kept(t: bytes, copies: int | None, starts: list[dict] | None, length: int) -> tuple[bytes, list[tuple[int, int]]]:
+    return kept_text(t, [(0, len(t) - length + 1)] if (copies or 1) > 1 else [(s["lo"], s["n"]) for s in starts or ()], length)
+
+
+def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256): each document without its repeated bytes.
 
-    kept (only with keep_text): the remaining bytes as text; characters that a cut split are left out.
     Null texts count as empty; texts under ``length`` bytes have no repeats; every copy of a text of ``length`` bytes or
-    more is removed whole.  ``length``: 200 to 600 bytes.
+    more is removed whole, repeated rows too.  ``length``: 200 to 600 bytes.
     """
     if not 200 <= length <= 600:
         raise ValueError("length: 200 to 600 bytes")
     base = _base(docs, id_col, text_col)
-    copies = base.groupBy("d", "nb").agg(F.count("*").alias("copies")).filter((F.col("copies") > 1) & (F.col("nb") >= length))
-    known = copies.join(repeats(base, length), ["d", "nb"], "full").select("d", "nb", F.coalesce("copies", F.lit(1)).alias("copies"), "starts")
     fields = [("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]
-    fields += [("kept", pa.string())] if keep_text else []
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         z = zstandard.ZstdDecompressor()
         for i, data, copies, starts in zip(*(column(batch, c).to_pylist() for c in ("id", "z", "copies", "starts"))):
             t = z.decompress(data)
-            spans = [(0, len(t) - length + 1)] if (copies or 1) > 1 else [(s["lo"], s["n"]) for s in starts or ()]
-            kept, removed = kept_text(t, spans, length)
-            row = (i, len(t), len(t) - len(kept), len(removed), hashlib.sha256(kept).hexdigest())
-            out.append(row + ((kept.decode("utf-8", "ignore"),) if keep_text else ()))
+            kept, removed = _kept(t, copies, starts, length)
+            out.append((i, len(t), len(t) - len(kept), len(removed), hashlib.sha256(kept).hexdigest()))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*out), fields)], [f for f, _ in fields])
 
     # a text that a third of all rows share is split by the adaptive skew join
-    joined = packed(base).join(known.hint("shuffle_hash"), ["d", "nb"], "left").select("id", "z", "copies", "starts")
-    schema = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text
-    return map_batches(joined, run, schema).withColumnRenamed("id", id_col)
+    joined = packed(base).join(_known(base, length).hint("shuffle_hash"), ["d", "nb"], "left").select("id", "z", "copies", "starts")
+    return map_batches(joined, run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+
+
+def cut(docs: DataFrame, length: int = 200, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs with their repeated bytes cut out of ``text_col``, and ``chars_col``, if there is one, counted anew.
+
+    Characters that a cut splits go whole.  Null texts stay null; documents that lose everything stay, with an empty text.
+    """
+    names, schema = docs.columns, docs.schema
+    d, nb = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long")
+    marks = [f"_{k}{len(names)}" for k in ("d", "nb", "copies", "starts")]
+    base = _base(docs.withColumn(marks[0], F.lit(0)), marks[0], text_col)
+    known = _known(base, length).toDF(*marks)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        raw = column(batch, text_col).cast(pa.binary()).to_pylist()
+        both = zip(raw, column(batch, marks[2]).to_pylist(), column(batch, marks[3]).to_pylist())
+        texts = [None if t is None else _kept(t, c, s, length)[0].decode("utf-8", "ignore") for t, c, s in both]
+        made = {text_col: texts} | ({chars_col: [None if t is None else len(t) for t in texts]} if chars_col in names else {})
+        cols = [pa.array(made[c], batch.schema.field(c).type) if c in made else column(batch, c) for c in names]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    joined = docs.join(known.hint("shuffle_hash"), (d == F.col(marks[0])) & (nb == F.col(marks[1])), "left").select(*names, *marks[2:])
+    return map_batches(joined, run, schema)
