@@ -1,11 +1,11 @@
 """Language-model scoring with a probabilistic suffix tree.
 
-Symbols are the bytes of words, each word between a start and an end sign; an end of text is a word of its own.  Contexts
-are up to DEPTH symbols back to the word's start.  Counts come from the training vocabulary.  As in Ron, Singer and
-Tishby's algorithm a context takes part only from a least share of all symbols up, which bounds the tree at DEPTH / share
-entries whatever the corpus, and is retained only if its next-symbol distribution diverges from its parent's.
-Distributions are smoothed by their parent's, down to a root that gives each of 256 symbols some mass, so a word's
-probabilities sum to one.  A word is scored along the longest retained suffixes.
+Symbols are the bytes of lower-cased words, a sign after each word and one at the end of the text; a text begins after DEPTH start
+signs.  Contexts of every length up to DEPTH symbols are counted over all training texts.  As in Ron, Singer and Tishby's
+algorithm an entry takes part only from a least share of all symbols up, which bounds the tree at (DEPTH + 1) / share
+entries whatever the corpus, and a context is retained only if its next-symbol distribution diverges from its parent's.
+Distributions are smoothed by their parent's, down to a root that gives each of 256 symbols some mass, so the
+probabilities of all texts sum to one.  Each symbol is scored by the longest retained suffix of what stands before it.
 """
 
 from __future__ import annotations
@@ -19,83 +19,71 @@ from pyspark.sql import functions as F
 
 from .common import column, fold, map_batches, texts, written
 
-DEPTH = 6
-#: Signs that no UTF-8 text holds: before a word, after a word, end of text.
+DEPTH = 5
+#: Signs that no UTF-8 text holds: before a text, after a word, end of text.
 START, STOP, END = 0xFF, 0xFE, 0xFD
+#: Bytes of text whose symbols are counted or scored together.
+RUN_BYTES = 3 << 20
 
 
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _signs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of all words with their signs, each byte's place in its word, its word's number); the empty word is the end."""
-    raw = b"".join([b"\xff" + w + b"\xfe" if w else b"\xff\xfd" for w in words])
-    x = np.frombuffer(raw, np.uint8).astype(np.int64)
-    lengths = np.array([len(w) + 2 if w else 2 for w in words], np.int64)
+def symbols(words: list[bytes]) -> bytes:
+    """A text's symbols behind its start signs."""
+    return bytes([START]) * DEPTH + b"\xfe".join([*words, b""]) + bytes([END])
+
+
+def keys_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, part numbers) of all symbols: DEPTH bytes before, and the symbol."""
+    x = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
+    key = np.zeros(len(x), np.int64)
+    for back in range(DEPTH, -1, -1):
+        key[DEPTH:] = key[DEPTH:] << 8 | x[DEPTH - back : len(x) - back]
+    lengths = np.array([len(p) for p in parts])
+    owner = np.repeat(np.arange(len(parts)), lengths)
     begin = np.cumsum(lengths) - lengths
-    owner = np.repeat(np.arange(len(words)), lengths)
-    return x, np.arange(len(x)) - begin[owner], owner
+    real = np.arange(len(x)) - begin[owner] >= DEPTH
+    return key[real], owner[real]
 
 
-def _contexts(x: np.ndarray, place: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions that have ``depth`` symbols before them, node code of these: depth and symbols)."""
-    at = np.flatnonzero(place >= max(1, depth))
-    code = np.full(len(at), depth, np.int64)
-    for back in range(DEPTH, 0, -1):
-        code = code << 8 | (x[at - back] if back <= depth else 0)
-    return at, code
+def runs(parts):
+    """Lists of parts of about RUN_BYTES, with the number of the first."""
+    held, size, first = [], 0, 0
+    for k, p in enumerate(parts):
+        held.append(p)
+        size += len(p)
+        if size >= RUN_BYTES:
+            yield first, held
+            held, size, first = [], 0, k + 1
+    if held:
+        yield first, held
 
 
 class SuffixTree:
-    """Smoothed distributions of the retained contexts."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, totals: dict[int, int], min_gain: float = 20.0, trust: float = 8.0):
-        """keys: node code << 8 | symbol; totals: all symbols counted after a node."""
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        node, symbol = keys >> 8, keys & 255
-        nodes, first = np.unique(node, return_index=True)
-        total = np.array([totals[n] for n in nodes.tolist()], float)
-        kept_sum = np.add.reduceat(counts, first) if len(keys) else np.zeros(0)
-        at = np.searchsorted(nodes, node)
-        depth = nodes >> 8 * DEPTH
-        self.uniform = 1 / 256
-        value = np.zeros(len(keys))
-        self.keys, self.nodes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.value, self.escape = np.zeros(0), np.zeros(0)
+    """Smoothed distributions of the retained contexts.  A context of d symbols is known by d and its bytes."""
+
+    def __init__(self, depth: np.ndarray, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray, min_gain: float = 20.0, trust: float = 4.0):
+        """keys: context bytes << 8 | symbol; totals: all symbols counted after the entry's context."""
+        self.keys, self.value, self.nodes, self.escape = [], [], [], []
         for d in range(DEPTH + 1):
-            pairs = np.flatnonzero(depth[at] == d)
-            if not len(pairs):
-                continue
-            own = at[pairs]
-            below = self._below(node[pairs], d)
-            parent = self.probability(below, symbol[pairs], d - 1) if d else np.full(len(pairs), self.uniform)
-            # log-likelihood gained by the context over its parent
-            gain = np.bincount(own, counts[pairs] * np.log(counts[pairs] / total[own] / parent), len(nodes))
-            keep = np.zeros(len(nodes), bool)
-            keep[np.unique(own)] = True
-            if d:
-                keep &= gain >= min_gain
+            at = np.flatnonzero(depth == d)
+            at = at[np.argsort(keys[at])]
+            k, n = keys[at], counts[at].astype(float)
+            nodes, first, own = np.unique(k >> 8, return_index=True, return_inverse=True)
+            total = totals[at][first].astype(float)
+            kept_sum = np.bincount(own, n, len(nodes))
+            parent = self.probability(k, d - 1)
+            # log-likelihood that the context gains over its parent
+            gain = np.bincount(own, n * np.log(n / total[own] / parent), len(nodes))
+            keep = gain >= min_gain if d else np.ones(len(nodes), bool)
             rest = total - kept_sum + trust
-            value[pairs] = (counts[pairs] + rest[own] * parent) / (total[own] + trust)
-            use = pairs[keep[own]]
-            kept = np.flatnonzero(keep)
-            self.keys, self.value = self._merged(self.keys, self.value, keys[use], value[use])
-            self.nodes, self.escape = self._merged(self.nodes, self.escape, nodes[kept], (rest / (total + trust))[kept])
-
-    @staticmethod
-    def _merged(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, x = np.concatenate([a, b]), np.concatenate([x, y])
-        order = np.argsort(a)
-        return a[order], x[order]
-
-    @staticmethod
-    def _below(code: np.ndarray, depth: int) -> np.ndarray:
-        """The node one symbol shorter."""
-        if not depth:
-            return code
-        return np.int64(depth - 1) << 8 * DEPTH | code & ((1 << 8 * (depth - 1)) - 1)
+            use = keep[own]
+            self.keys.append(k[use])
+            self.value.append(((n + rest[own] * parent) / (total[own] + trust))[use])
+            self.nodes.append(nodes[keep])
+            self.escape.append((rest / (total + trust))[keep])
 
     @staticmethod
     def _find(where: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,32 +92,26 @@ class SuffixTree:
         at = np.minimum(np.searchsorted(where, what), len(where) - 1)
         return at, where[at] == what
 
-    def probability(self, code: np.ndarray, symbol: np.ndarray, depth: int) -> np.ndarray:
-        """Of each symbol after its context (codes of one depth): the longest retained suffix decides."""
-        out, left = np.ones(len(code)), np.arange(len(code))
+    def probability(self, keys: np.ndarray, depth: int = DEPTH) -> np.ndarray:
+        """Of each key's symbol after its context, of which the last ``depth`` symbols count."""
+        out, left = np.ones(len(keys)), np.arange(len(keys))
         for d in range(depth, -1, -1):
-            if not len(left):
-                break
-            at, hit = self._find(self.keys, code[left] << 8 | symbol[left])
-            out[left[hit]] *= self.value[at[hit]]
-            left = left[~hit]
-            at, kept = self._find(self.nodes, code[left])
-            out[left[kept]] *= self.escape[at[kept]]
-            code = self._below(code, d)
-        out[left] *= self.uniform
+            k = keys[left] & ((1 << 8 * (d + 1)) - 1)
+            at, hit = self._find(self.keys[d], k)
+            out[left[hit]] *= self.value[d][at[hit]]
+            left, k = left[~hit], k[~hit]
+            at, kept = self._find(self.nodes[d], k >> 8)
+            out[left[kept]] *= self.escape[d][at[kept]]
+        out[left] /= 256
         return out
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word, its end sign included."""
-        x, place, owner = _signs(words)
-        out = np.zeros(len(words))
-        for d in range(1, DEPTH + 1):
-            at, code = _contexts(x, place, d)
-            if d < DEPTH:
-                use = place[at] == d
-                at, code = at[use], code[use]
-            if len(at):
-                out += np.bincount(owner[at], np.log10(self.probability(code, x[at], d)), len(words))
+    def log10(self, texts: list[list[bytes]]) -> np.ndarray:
+        """log10 probability of each text, given as its words."""
+        out = np.zeros(len(texts))
+        for first, parts in runs(symbols(t) for t in texts):
+            keys, owner = keys_of(parts)
+            distinct, at = np.unique(keys, return_inverse=True)
+            out[first : first + len(parts)] = np.bincount(owner, np.log10(self.probability(distinct))[at], len(parts))
         return out
 
 
@@ -153,50 +135,46 @@ def vocabulary(docs: DataFrame, training: Column, text_col: str) -> DataFrame:
     return map_batches(src, run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_tree(words: DataFrame, least_share: float = 2e-6) -> SuffixTree:
-    """The tree of a vocabulary (word, c).  ``least_share``: of all symbols, for an entry to take part; bounds the model."""
+def fit_tree(training: DataFrame, least_share: float = 5e-7, text_col: str = "text") -> SuffixTree:
+    """The tree of all rows of ``training``.  ``least_share``: of all symbols, for an entry to take part; bounds the model."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, place, owner = _signs(column(batch, "word").to_pylist())
-        c = column(batch, "c").to_numpy(zero_copy_only=False)
         keys, counts = [], []
-        for d in range(DEPTH + 1):
-            at, code = _contexts(x, place, d)
-            keys.append(code << 8 | x[at])
-            counts.append(c[owner[at]])
+        for _, parts in runs(symbols(tokens(t)) for t in texts(batch)):
+            k, n = np.unique(keys_of(parts)[0], return_counts=True)
+            keys.append(k)
+            counts.append(n)
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums)], ["key", "n"])
-
-    counted = map_batches(words.filter("c > 0"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    counted = written(counted, "contexts").withColumn("node", F.shiftright("key", 8))
-    everything = counted.filter(F.shiftright("key", 8 * DEPTH + 8) == 0).agg(F.sum("n")).first()[0] or 0
-    least = everything * least_share
-    entries = counted.filter(F.col("n") >= least)
-    totals = counted.groupBy("node").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-    rows = entries.join(totals, "node").select("key", "n", "node", "total").toPandas()  # at most (DEPTH + 1) / least_share
-    return SuffixTree(rows.key.to_numpy(np.int64), rows.n.to_numpy(float), dict(zip(rows.node.tolist(), rows.total.tolist())))
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64))], ["key", "n"])
+
+    counted = map_batches(training.select(F.col(text_col).cast("string").alias("text")), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = written(counted, "contexts")
+    least = (counted.agg(F.sum("n")).first()[0] or 0) * least_share
+    rows = []
+    for d in range(DEPTH + 1):
+        # shorter contexts' counts are sums over what stands before them
+        keys = counted.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        node = F.shiftright("key", 8)
+        totals = keys.groupBy(node.alias("node")).agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
+        found = keys.filter(F.col("n") >= least).join(totals, node == F.col("node")).select("key", "n", "total")
+        rows.append(found.toPandas().assign(depth=d))  # 1 / least_share rows at most
+    depth, keys, n, total = (np.concatenate([r[c].to_numpy(np.int64) for r in rows]) for c in ("depth", "key", "n", "total"))
+    return SuffixTree(depth, keys, n, total)
 
 
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Null texts are empty: their only token is the end.  If no row trains, N and V are 0.  Documents are dealt to chunks of
-    about ``chunk_bytes``; each chunk fetches the figures of its own distinct words, so neither vocabulary nor model has to
-    fit anywhere whole, and a frequent word is asked for once a chunk.
+    about ``chunk_bytes``; each chunk fetches the counts of its own distinct words, so the vocabulary fits nowhere whole, and
+    a frequent word is asked for once a chunk.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("trains"))
     words = written(vocabulary(docs, F.col("trains"), "text"), "vocabulary")
     total, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(fit_tree(words))
+    tree = spark.sparkContext.broadcast(fit_tree(docs.filter("trains")))
     base_of = float(np.log10(total + distinct + 1))
-
-    def valued(batch: pa.RecordBatch) -> pa.RecordBatch:
-        w = column(batch, "word")
-        return pa.RecordBatch.from_arrays([w, column(batch, "c"), pa.array(tree.value.log10(w.to_pylist()))], ["word", "c", "lp"])
-
-    values = map_batches(words, valued, "word binary, c long, lp double")
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
     dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
@@ -213,16 +191,19 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(those), pa.int32()), pa.array(list(those), pa.binary())], ["chunk", "word"])
 
     wanted = dealt.select("id", "text", "trains", "chunk").mapInArrow(asked, "chunk int, word binary")
-    answers = wanted.join(values, "word").select("chunk", "word", "c", "lp")
+    answers = wanted.join(words, "word").select("chunk", "word", "c")
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         number = {w: k for k, w in enumerate(right.column("word").to_pylist())}
-        c, lp = (right.column(x).to_numpy() for x in ("c", "lp"))
+        c = right.column("c").to_numpy()
         base, known = np.log10(c + 1) - base_of, c > 0
         out = []
-        for i, t, trains in zip(left.column("id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist(), left.column("trains").to_pylist()):
-            at = np.array([number[w] for w in tokens(t)] + [number[b""]])
-            out.append((i, not trains, len(at), int(known[at].sum()), total, float(base[at].sum()), float(lp[at].sum())))
+        rows = list(zip(left.column("id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist(), left.column("trains").to_pylist()))
+        for at in range(0, len(rows), 256):
+            part = [(i, tokens(t), trains) for i, t, trains in rows[at : at + 256]]
+            for (i, words, trains), score in zip(part, tree.value.log10([p[1] for p in part]).tolist()):
+                k = np.array([number[w] for w in words] + [number[b""]])
+                out.append((i, not trains, len(k), int(known[k].sum()), total, float(base[k].sum()), score))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
