@@ -34,7 +34,7 @@ from .common import column, map_batches, texts, written
 #: Bytes of a symbol of the multikey quicksort.
 SYMBOL = 40
 #: Segment bytes that a bucket sorts at once; a larger group is compared across pieces.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -111,13 +111,14 @@ def gram_symbols(data: np.ndarray) -> np.ndarray:
     """A 64-bit value of the SYMBOL bytes from each position."""
     x = data.astype(np.uint64)
     odd = 0x9E3779B97F4A7C15
-    pieces = {1: x}
+    pieces = {1: x} if SYMBOL & 1 else {}
     have = 1
     while have * 2 <= SYMBOL:
         x = x[:-have] * np.uint64(odd) + (x[have:] ^ (x[have:] >> np.uint64(31)))
         odd = (odd * 0xD1342543DE82EF95 + 0x2545F4914F6CDD1D) % 2**64 | 1
         have *= 2
-        pieces[have] = x
+        if have & SYMBOL:
+            pieces[have] = x
     rest, done = SYMBOL - have, have
     out = pieces[have]
     for size in sorted(pieces, reverse=True):
@@ -221,15 +222,13 @@ def repeats(base: DataFrame, length: int) -> DataFrame:
         for data, cuts in zip(column(batch, "z").to_pylist(), column(batch, "cuts").to_pylist()):
             t = z.decompress(data)
             for c in cuts:
-                at = c["lo"] + c["a"]
-                seg = t[c["lo"] : c["lo"] + c["n"] + length - 1]
-                out.append((c["key"], c["seg"], seg, c["n"], c["a"], seg[c["a"] :], t[c["lo"] : at][::-1]))
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "seg", "bytes", "n", "a", "head", "back"])
+                out.append((c["key"], c["seg"], t[c["lo"] : c["lo"] + c["n"] + length - 1], c["n"], c["a"]))
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], ["key", "seg", "bytes", "n", "a"])
 
     joined = source.join(per_text.hint("shuffle_hash"), ["id", "d", "nb"]).select("z", "cuts")
-    suffixes = map_batches(joined, segments, "key long, seg long, bytes binary, n long, a long, head binary, back binary")
-    suffixes = written(suffixes.select("key", "seg", "bytes", "n", "a"), "suffixes")
+    suffixes = map_batches(joined, segments, "key long, seg long, bytes binary, n long, a long")
+    suffixes = written(suffixes, "suffixes")
     head = F.expr("substring(bytes, int(a) + 1)")
     back = F.expr("reverse(hex(substring(bytes, 1, int(a))))")
     n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
