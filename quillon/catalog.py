@@ -1,10 +1,479 @@
-"""Registry of the engine's queries and their SQL."""
+"""Registry of the engine's queries and of the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import paths
+from .functions import text as T
+from .operators import corpus, graph, packing, parsers, ranking
+from .plans import context
+from .sources.files import change_ranks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: path, language, module, content."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return docs.select("doc_id", path.alias("path"), F.col("lang").alias("language"), paths.module_of(path).alias("module"), "text")
+
+
+def sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+SPLIT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace({w}, '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda p : lower(p)), lambda p : p <> '')"
+TOKENS = "flatten(list_transform(regexp_extract_all({x}, '[A-Za-z_][A-Za-z0-9_]*'), lambda w : list_concat(list_filter(" + SPLIT.format(w="w") + ", lambda p : length(p) > 1 AND NOT list_contains(" + sql_list(T.STOPWORDS) + ", p)), CASE WHEN len(" + SPLIT.format(w="w") + ") > 1 AND NOT list_contains(" + sql_list(T.STOPWORDS) + ", lower(w)) THEN [lower(w)] ELSE [] END)))"
+TERMS = "flatten(list_transform(regexp_extract_all({x}, '[A-Za-z_][A-Za-z0-9_]{{2,}}'), lambda w : list_concat(list_filter(" + SPLIT.format(w="w") + ", lambda p : length(p) >= 3 AND NOT list_contains(" + sql_list(T.TERM_STOP) + ", p) AND NOT regexp_matches(p, '^[0-9]+$')), CASE WHEN (contains(w, '_') OR regexp_matches(w, '^.+[A-Z]')) AND NOT list_contains(" + sql_list(T.TERM_STOP) + ", lower(w)) THEN [lower(w)] ELSE [] END)))"
+TERM_TOP = f"""tt AS (SELECT doc_id, unnest(x) AS term, generate_subscripts(x, 1) AS pos FROM (SELECT doc_id, {TERMS.format(x='text')} AS x FROM documents)),
+tc AS (SELECT doc_id, term, count(*) AS count, min(pos) AS first FROM tt GROUP BY ALL),
+top AS (SELECT doc_id, term, count FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY count DESC, first) AS r FROM tc) WHERE r <= 400)"""
+COUNT = "CASE WHEN regexp_matches(k, '^[A-Za-z_]') THEN greatest(1, (length(k) + 4) // 5) WHEN regexp_matches(k, '^[0-9]') THEN greatest(1, (length(k) + 2) // 3) WHEN regexp_matches(k, '^\\s') THEN CASE WHEN contains(k, chr(10)) OR length(k) > 3 THEN 1 ELSE 0 END ELSE 1 END"
+PIECES = "'(?s)([A-Za-z_][A-Za-z0-9_]*|[0-9]+|\\s+|.)'"
+MODULE = "source || '/' || lang"
+PATH = "source || '/' || lang || '/' || CAST(doc_id AS VARCHAR)"
+
+
+def token_sql(table: str, key: str, where: str = "") -> str:
+    return f"SELECT {key}, (coalesce(sum({COUNT}), 0) * 105 // 100)::BIGINT AS tokens FROM (SELECT {key}, unnest(regexp_extract_all(text, {PIECES}, 1)) AS k FROM {table} {where}) GROUP BY {key}"
+
+
+def whole_tokens(docs: DataFrame) -> Column:
+    return T.token_count(F.col("text"))
+
+
+@query(token_sql("documents", "doc_id"))
+def token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(F.col("text")).alias("tokens"))
+
+
+TOKENS_OF = f"t AS ({token_sql('documents', 'doc_id')})"
+LOC = "(length(text) - length(replace(text, chr(10), '')) + CASE WHEN text <> '' AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END)"
+
+
+@query(f"WITH {TOKENS_OF} SELECT count(*) AS files, sum(tokens)::BIGINT AS tokens, sum({LOC})::BIGINT AS loc FROM documents JOIN t USING (doc_id)")
+def corpus_totals(spark, sf_dir):
+    return files(spark, sf_dir).agg(F.count("*").alias("files"), F.sum(T.token_count(F.col("text"))).alias("tokens"), F.sum(T.loc(F.col("text"))).alias("loc"))
+
+
+@query(f"WITH {TOKENS_OF} SELECT {MODULE} AS module, count(*) AS files, sum(tokens)::BIGINT AS tokens FROM documents JOIN t USING (doc_id) GROUP BY 1 ORDER BY tokens DESC, module LIMIT 15")
+def module_rollup(spark, sf_dir):
+    rows = files(spark, sf_dir).select("module", T.token_count(F.col("text")).alias("t"))
+    return rows.groupBy("module").agg(F.count("*").alias("files"), F.sum("t").alias("tokens")).orderBy(F.desc("tokens"), "module").limit(15)
+
+
+@query("SELECT lang AS language, count(*) AS files FROM documents GROUP BY 1 ORDER BY files DESC, language LIMIT 6")
+def language_topk(spark, sf_dir):
+    return files(spark, sf_dir).groupBy("language").agg(F.count("*").alias("files")).orderBy(F.desc("files"), "language").limit(6)
+
+
+@query(f"WITH {TOKENS_OF} SELECT doc_id, {LOC}::BIGINT AS loc, octet_length(encode(text))::BIGINT AS size, CASE WHEN octet_length(encode(text)) <= 4096 THEN tokens ELSE octet_length(encode(text)) // 4 END::BIGINT AS tokens, sha256(text) AS sha256 FROM documents JOIN t USING (doc_id)")
+def loc_and_size_gate(spark, sf_dir):
+    size = F.octet_length("text").cast("long")
+    gated = F.when(size <= 4096, T.token_count(F.col("text"))).otherwise(F.floor(size / 4)).cast("long")
+    return table(spark, sf_dir, "documents").select("doc_id", T.loc(F.col("text")).alias("loc"), size.alias("size"), gated.alias("tokens"), F.sha2(F.col("text"), 256).alias("sha256"))
+
+
+FIXED_PATHS = ["README.md", "app/Services/PaymentService.php", "tests/test_api.py", "src/components/Cart.vue", "src/types/index.d.ts", "resources/views/home.blade.php", "config/app.php", "composer.json", "docker-compose.yml", "Dockerfile", "lib/x.unknown", "src/cart.spec.ts", "node_modules/a/b.js", "public/build/x.js", "LICENSE", "secrets.json", ".env", ".env.example", "Api.Tests/UserTests.cs", "a/b/c/d.min.js"]
+
+
+def sql_like(globs: list[str]) -> str:
+    return "|".join(paths.glob_pattern(g) for g in globs)
+
+
+def path_sql() -> str:
+    base = "regexp_extract(path, '([^/]*)$', 1)"
+    low = f"lower({base})"
+    suffix = f"regexp_extract({low}, '^.+\\.([^.]+)$', 1)"
+    cases = " ".join(f"WHEN {suffix} = '{k}' THEN '{v}'" for k, v in paths.SUFFIXES.items())
+    names = " ".join(f"WHEN {base} = '{k}' THEN '{v}'" for k, v in paths.NAMES.items())
+    parts = "list_filter(string_split(path, '/'), lambda p : p <> '')"
+    tests, configs = ("|".join(f"(?:{p})" for p in those) for those in (paths.TESTS, paths.CONFIGS))
+    segments, prefixes, files = sql_like([d for d in paths.IGNORED_DIRS if "/" not in d]), sql_like([d for d in paths.IGNORED_DIRS if "/" in d]), sql_like(paths.IGNORED_FILES)
+    values = " UNION ALL ".join(f"SELECT '{p}' AS path" for p in FIXED_PATHS)
+    return f"""WITH p AS (SELECT DISTINCT path FROM (SELECT regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages UNION ALL {values}))
+SELECT path, CASE {names} WHEN ends_with({low}, '.blade.php') THEN 'blade' WHEN ends_with({low}, '.d.ts') THEN 'typescript' {cases} END AS language,
+CASE WHEN len({parts}) <= 1 THEN '(root)' WHEN len({parts}) = 2 THEN {parts}[1] ELSE {parts}[1] || '/' || {parts}[2] END AS module,
+regexp_matches(path, '{tests}') AS is_test, regexp_matches(path, '{configs}') AS is_config,
+(regexp_matches(path, '(?:^|/)(?:{segments})/') OR regexp_matches({base}, '^(?:{files})$') OR regexp_matches(path, '^(?:{files})$') OR regexp_matches(path, '^(?:{prefixes})/')) AS ignored FROM p"""
+
+
+@query(path_sql())
+def path_classify(spark, sf_dir):
+    fixed = spark.createDataFrame([(p,) for p in FIXED_PATHS], "path string")
+    rows = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://[^/]*/?", "").alias("path")).unionByName(fixed).distinct()
+    p = F.col("path")
+    return rows.select("path", paths.language_for(p).alias("language"), paths.module_of(p).alias("module"), paths.is_test_path(p).alias("is_test"), paths.is_config_path(p).alias("is_config"), paths.ignored(p).alias("ignored"))
+
+
+@query(f"WITH {TERM_TOP} SELECT * FROM top")
+def content_terms_top(spark, sf_dir):
+    return ranking.term_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+
+
+POSTINGS = f"""{TERM_TOP},
+posted AS (SELECT doc_id, term, sum(n)::BIGINT AS tf FROM (
+SELECT doc_id, term, 1 + least(floor(log2(count) + 1e-9), 3) AS n FROM top WHERE NOT list_contains({sql_list(T.STOPWORDS)}, term)
+UNION ALL SELECT doc_id, term, 3 * count(*) AS n FROM (SELECT doc_id, unnest({TOKENS.format(x='(' + PATH + ')')}) AS term FROM documents) GROUP BY ALL) GROUP BY ALL),
+size AS (SELECT doc_id, sum(tf) AS len FROM posted GROUP BY 1), stats AS (SELECT count(*) AS n, avg(len) AS avg FROM size),
+df AS (SELECT term, count(*) AS df FROM posted GROUP BY 1)"""
+
+
+def bm25_sql(tasks: str) -> str:
+    return f"""{POSTINGS}, asked AS (SELECT task_id, term, count(*) AS qf FROM (SELECT item_id AS task_id, unnest({TOKENS.format(x='text')}) AS term FROM benchmark {tasks}) GROUP BY ALL),
+scores AS (SELECT task_id, doc_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.65 + 0.35 * len / avg))) AS score
+FROM posted JOIN asked USING (term) JOIN df USING (term) JOIN size USING (doc_id), stats GROUP BY ALL)"""
+
+
+def indexed(spark, sf_dir) -> DataFrame:
+    return ranking.postings(files(spark, sf_dir), "doc_id", F.col("path"), F.col("text"))
+
+
+def tasks(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), "text")
+
+
+@query(f"WITH {bm25_sql('WHERE item_id = 0')} SELECT doc_id, round(score, 6) AS score, round(score / (SELECT max(score) FROM scores), 6) AS lexical FROM scores")
+def bm25_rank(spark, sf_dir):
+    scores = ranking.lexical(ranking.bm25(indexed(spark, sf_dir), tasks(spark, sf_dir).filter("task_id = 0"), "doc_id"))
+    return scores.select("doc_id", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"))
+
+
+@query(f"WITH {bm25_sql('')} SELECT * FROM (SELECT task_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10")
+def bm25_batch(spark, sf_dir):
+    scores = ranking.bm25(indexed(spark, sf_dir), tasks(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
+    rank = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "doc_id")).cast("long")
+    return scores.withColumn("rank", rank).filter("rank <= 10")
+
+
+IDENT = "'(?:^|[^A-Za-z0-9_])([A-Z][A-Za-z0-9_]{3,})'"
+NAMES = f"names AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, {IDENT}, 1)) AS name FROM documents)"
+
+
+def names_of(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(graph.pascal_names(F.col("text"))).alias("name"))
+
+
+@query(f"WITH {NAMES}, task AS (SELECT list_transform(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*'), lambda w : lower(w)) AS w FROM benchmark WHERE item_id = 0) SELECT doc_id, array_to_string(list_slice(list_sort(list(DISTINCT name)), 1, 6), ',') AS matched FROM names, task WHERE list_contains(w, lower(name)) GROUP BY 1")
+def matched_symbols(spark, sf_dir):
+    words = tasks(spark, sf_dir).filter("task_id = 0").select(F.explode(F.transform(T.words(F.col("text")), F.lower)).alias("low")).distinct()
+    hits = names_of(spark, sf_dir).withColumn("low", F.lower("name")).join(words, "low", "left_semi")
+    return hits.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 6), ",").alias("matched"))
+
+
+EXPLICIT_TASK = "Look into src0/en/1 and the parser of doc_1234 near src3"
+
+
+@query(f"WITH d AS (SELECT doc_id, {PATH} AS path, CAST(doc_id AS VARCHAR) AS base FROM documents) SELECT doc_id, round(3.0 * CASE WHEN contains('{EXPLICIT_TASK}', path) OR (length(base) > 6 AND contains('{EXPLICIT_TASK}', base)) THEN 1.0 WHEN list_contains(['doc_1234'], base) THEN 0.8 ELSE 0.0 END, 6) AS explicit FROM d")
+def explicit_reference(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", F.round(3.0 * ranking.explicit_reference(F.col("path"), F.lit(EXPLICIT_TASK)), 6).alias("explicit"))
+
+
+@query("SELECT doc_id, CASE WHEN lang IN ('markdown', 'text', 'json', 'yaml', 'toml', 'xml', 'ini') THEN 0.55 WHEN lang NOT IN ('python', 'php', 'javascript', 'typescript', 'vue', 'csharp') THEN 0.8 ELSE 1.0 END::DOUBLE AS prior FROM documents")
+def type_prior(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", ranking.type_prior(F.col("lang")).alias("prior"))
+
+
+@query("SELECT doc_id, round(CASE WHEN doc_id % 5 <> 0 THEN n_chars / 1000.0::DOUBLE WHEN doc_id % 10 = 0 THEN n_chars / 1000.0::DOUBLE + 0.5 ELSE n_chars / 1000.0::DOUBLE * 0.6 END, 6) AS score FROM documents")
+def test_adjust(spark, sf_dir):
+    d = F.col("doc_id")
+    score = ranking.test_adjusted(F.col("n_chars") / 1000, d % 5 == 0, d % 10 == 0, ranking.about_tests(F.lit("repair the cart")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"))
+
+
+HREF = "'href=\"([^\"]+)\"'"
+
+
+def links(spark, sf_dir) -> DataFrame:
+    """Page to link target, weighed by rank of its first letter: a stand-in for typed edges."""
+    rows = table(spark, sf_dir, "pages").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("dst"))
+    return rows.withColumn("weight", F.when(F.col("dst").startswith("/"), 1.0).otherwise(0.5))
+
+
+LINKS = f"e AS (SELECT url AS src, unnest(regexp_extract_all(html, {HREF}, 1)) AS dst FROM pages), w AS (SELECT src, dst, CASE WHEN starts_with(dst, '/') THEN 1.0 ELSE 0.5 END::DOUBLE AS weight FROM e), m AS (SELECT src, dst, max(weight) AS weight FROM w WHERE src <> dst GROUP BY ALL)"
+
+
+@query(f"WITH {LINKS} SELECT src, dst, count(*) AS n FROM e GROUP BY ALL")
+def link_edges(spark, sf_dir):
+    return links(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {LINKS} SELECT * FROM m")
+def edge_max_merge(spark, sf_dir):
+    return graph.merged(links(spark, sf_dir))
+
+
+@query(f"WITH {LINKS} SELECT node, count(*) AS degree, round(1 / (1 + ln(1 + greatest(count(*) - 3, 0)::DOUBLE)), 6) AS hub FROM (SELECT src AS node FROM m UNION ALL SELECT dst FROM m) GROUP BY 1")
+def degree_hub_penalty(spark, sf_dir):
+    return graph.hub_penalty(graph.merged(links(spark, sf_dir))).select("node", "degree", F.round("hub", 6).alias("hub"))
+
+
+NEAR = "near AS (SELECT node, other, max(weight) AS weight FROM (SELECT src AS node, dst AS other, weight FROM m UNION ALL SELECT dst, src, weight * 0.8 FROM m) GROUP BY ALL)"
+
+
+@query(f"WITH {LINKS}, {NEAR} SELECT node, other, round(weight, 6) AS weight FROM near")
+def neighbors_1hop(spark, sf_dir):
+    return graph.neighbours(graph.merged(links(spark, sf_dir))).withColumn("weight", F.round("weight", 6))
+
+
+SEEDS = "s AS (SELECT url AS seed, 1.0 + (page_id % 3) AS score FROM pages ORDER BY page_id LIMIT 8)"
+HUB = "hub AS (SELECT node, 1 / (1 + ln(1 + greatest(count(*) - 3, 0)::DOUBLE)) AS hub FROM (SELECT src AS node FROM m UNION ALL SELECT dst FROM m) GROUP BY 1)"
+
+
+@query(f"""WITH {LINKS}, {NEAR}, {HUB}, {SEEDS}, one AS (SELECT seed, score, other AS n1, weight AS w1, hub AS h1 FROM near JOIN s ON node = seed JOIN hub ON hub.node = other),
+lent AS (SELECT n1 AS node, 0.6 * score * w1 * 0.5 * h1 AS x FROM one UNION ALL SELECT near.other, 0.6 * score * w1 * near.weight * 0.15 * h1 * hub.hub FROM one JOIN near ON near.node = n1 JOIN hub ON hub.node = near.other WHERE near.other <> seed)
+SELECT node, round(least(sum(x), 0.6 * (SELECT max(score) FROM s)), 6) AS dependency FROM lent GROUP BY 1""")
+def neighbors_2hop_score(spark, sf_dir):
+    chosen = table(spark, sf_dir, "pages").orderBy("page_id").limit(8).select(F.col("url").alias("seed"), (1.0 + F.col("page_id") % 3).alias("score"))
+    return graph.dependency_signal(links(spark, sf_dir), chosen, "seed").withColumn("dependency", F.round("dependency", 6))
+
+
+COMMON = sql_list(graph.COMMON_NAMES)
+UNIQUE = f"{NAMES}, uniq AS (SELECT name, min(doc_id) AS doc_id FROM names WHERE length(name) >= 4 AND NOT list_contains({COMMON}, name) GROUP BY 1 HAVING count(DISTINCT doc_id) = 1)"
+
+
+@query(f"WITH {UNIQUE} SELECT * FROM uniq")
+def unique_definitions(spark, sf_dir):
+    return graph.unique_definitions(names_of(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {NAMES}, defs AS (SELECT name, min(doc_id) AS dst FROM names WHERE doc_id % 4 = 0 AND length(name) >= 4 AND NOT list_contains({COMMON}, name) GROUP BY 1 HAVING count(DISTINCT doc_id) = 1) SELECT DISTINCT doc_id AS src, dst, 0.5::DOUBLE AS weight FROM names JOIN defs USING (name) WHERE doc_id <> dst")
+def reference_edges(spark, sf_dir):
+    names = names_of(spark, sf_dir)
+    return graph.reference_edges(names, graph.unique_definitions(names.filter("doc_id % 4 = 0"), "doc_id"), "doc_id")
+
+
+@query(f"WITH d AS (SELECT doc_id, {MODULE} AS module FROM documents), s AS (SELECT * FROM d ORDER BY doc_id LIMIT 8), c AS (SELECT module, 0.4 * count(*) / 8 AS x FROM s GROUP BY 1) SELECT doc_id, round(x, 6) AS module_match FROM d JOIN c USING (module)")
+def module_match(spark, sf_dir):
+    rows = files(spark, sf_dir).select("doc_id", "module")
+    return ranking.module_match(rows, rows.orderBy("doc_id").limit(8), "doc_id").withColumn("module_match", F.round("module_match", 6))
+
+
+@query("SELECT user_id, round(1 / (1 + (row_number() OVER (ORDER BY last_ts DESC, last_id DESC) - 1) / 25.0), 6) AS recency FROM (SELECT user_id, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY 1)")
+def recency_rank(spark, sf_dir):
+    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    # newest first: events are numbered as their order in the log
+    log = last.select("user_id", F.row_number().over(Window.orderBy(F.desc("m.ts"), F.desc("m.event_id"))).alias("position"))
+    return change_ranks(log, "user_id").select("user_id", F.round("recency", 6).alias("recency"))
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%a_e%' ORDER BY p_name = 'a_e' DESC, length(p_name), p_name, p_partkey LIMIT 20")
+def symbol_search(spark, sf_dir):
+    return corpus.symbol_search(table(spark, sf_dir, "part"), "a_e", "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha256"), F.concat(F.lit("s"), "doc_id").alias("summary"))
+    old = rows.filter("doc_id % 10 <> 0")
+    new = rows.filter("doc_id % 10 <> 2").withColumn("sha256", F.when(F.col("doc_id") % 10 == 1, F.sha2(F.concat("sha256", F.lit("x")), 256)).otherwise(F.col("sha256"))).withColumn("summary", F.lit(None).cast("string"))
+    return old, new
+
+
+SNAPS = "o AS (SELECT doc_id, sha256(text) AS sha256, 's' || doc_id AS summary FROM documents WHERE doc_id % 10 <> 0), n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN sha256(sha256(text) || 'x') ELSE sha256(text) END AS sha256 FROM documents WHERE doc_id % 10 <> 2)"
+
+
+@query(f"WITH {SNAPS} SELECT doc_id, CASE WHEN o.sha256 IS NULL THEN 'added' WHEN n.sha256 IS NULL THEN 'removed' WHEN o.sha256 <> n.sha256 THEN 'updated' ELSE 'unchanged' END AS status FROM o FULL JOIN n USING (doc_id)")
+def snapshot_diff(spark, sf_dir):
+    return corpus.snapshot_diff(*snapshots(spark, sf_dir), "doc_id")
+
+
+@query(f"WITH {SNAPS} SELECT doc_id, n.sha256, summary FROM n LEFT JOIN o USING (doc_id)")
+def incremental_upsert(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    status = corpus.snapshot_diff(old, new, "doc_id")
+    kept = corpus.delete(old, status.filter("status = 'removed'"), "doc_id")
+    return corpus.upsert(kept, new.join(status.filter("status in ('added', 'updated')"), "doc_id", "left_semi"), "doc_id", ("summary",))
+
+
+def redact_sql() -> str:
+    out = "text"
+    for pattern, by in T.SECRETS:
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace('$1', chr(92) + '1').replace(chr(39), chr(39) * 2)}', 'g')"
+    return f"SELECT doc_id, sha256({out}) AS sha256, contains({out}, '{T.HIDDEN}') AS hidden FROM documents"
+
+
+@query(redact_sql())
+def redact(spark, sf_dir):
+    clean = T.redact(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean, 256).alias("sha256"), clean.contains(T.HIDDEN).alias("hidden"))
+
+
+def usage(spark, sf_dir) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("role", F.concat(F.lit("gpt-4o"), F.when(F.col("conv_id") % 3 == 0, "-mini-2024").when(F.col("conv_id") % 3 == 1, "").otherwise("x")).alias("model"), T.token_count(F.col("text")).alias("t"))
+    return rows.select("role", "model", F.when(F.col("role") == "user", F.col("t")).otherwise(0).alias("input_tokens"), F.when(F.col("role") == "assistant", F.col("t")).otherwise(0).alias("output_tokens"))
+
+
+USAGE = f"""u AS (SELECT role, 'gpt-4o' || CASE WHEN conv_id % 3 = 0 THEN '-mini-2024' WHEN conv_id % 3 = 1 THEN '' ELSE 'x' END AS model,
+CASE WHEN role = 'user' THEN t ELSE 0 END AS input_tokens, CASE WHEN role = 'assistant' THEN t ELSE 0 END AS output_tokens
+FROM (SELECT conv_id, role, (list_sum(list_transform(regexp_extract_all(text, {PIECES}, 1), lambda k : {COUNT})) * 105 // 100)::BIGINT AS t FROM conversations)),
+c AS (SELECT *, input_tokens / 1e6 * CASE WHEN starts_with(model, 'gpt-4o-mini') THEN 0.15 ELSE 2.5 END + output_tokens / 1e6 * CASE WHEN starts_with(model, 'gpt-4o-mini') THEN 0.6 ELSE 10.0 END AS cost FROM u)"""
+
+
+def costed(spark, sf_dir) -> DataFrame:
+    return usage(spark, sf_dir).withColumn("cost", corpus.cost(F.col("model"), F.col("input_tokens"), F.col("output_tokens")))
+
+
+@query(f"WITH {USAGE} SELECT count(*) AS calls, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, round(coalesce(sum(cost), 0)::DOUBLE, 6) AS cost FROM c")
+def usage_totals(spark, sf_dir):
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return costed(spark, sf_dir).agg(F.count("*").alias("calls"), zero("input_tokens").alias("input_tokens"), zero("output_tokens").alias("output_tokens"), F.round(zero("cost"), 6).alias("cost"))
+
+
+@query(f"WITH {USAGE} SELECT role, model, count(*) AS calls, sum(input_tokens + output_tokens)::BIGINT AS tokens, round(sum(cost)::DOUBLE, 6) AS cost FROM c GROUP BY ALL")
+def usage_by_role(spark, sf_dir):
+    return costed(spark, sf_dir).groupBy("role", "model").agg(F.count("*").alias("calls"), F.sum(F.col("input_tokens") + F.col("output_tokens")).alias("tokens"), F.round(F.sum("cost"), 6).alias("cost"))
+
+
+@query("SELECT event_type, count(*) AS runs, round(sum(value), 6) AS baseline, round(avg(value), 6) AS mean FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY 1")
+def usage_since(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    since = events.agg((F.max("ts") - F.expr("interval 7 days")).alias("since"))
+    rows = events.join(F.broadcast(since)).filter("ts >= since")
+    return rows.groupBy("event_type").agg(F.count("*").alias("runs"), F.round(F.sum("value"), 6).alias("baseline"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query(f"WITH {TOKENS_OF} SELECT count(*) AS runs, sum(n_chars)::BIGINT AS baseline, sum(tokens)::BIGINT AS tokens, round(100.0 * (sum(n_chars) - sum(tokens)) / nullif(sum(n_chars), 0), 1)::DOUBLE AS saved FROM documents JOIN t USING (doc_id)")
+def savings(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("n_chars", T.token_count(F.col("text")).alias("t"))
+    both = rows.agg(F.count("*").alias("runs"), F.sum("n_chars").alias("baseline"), F.sum("t").alias("tokens"))
+    return both.withColumn("saved", F.round(100.0 * (F.col("baseline") - F.col("tokens")) / F.nullif("baseline", F.lit(0)), 1))
+
+
+MODELS = ("gpt-4o", "gpt-4o-mini-2024-07-18", "claude-opus-5-x", "unknown", "gpt-4.1-mini")
+
+
+@query("SELECT m AS model, round(1000000 / 1e6 * i + 500000 / 1e6 * o, 6) AS cost FROM (VALUES ('gpt-4o', 2.5, 10.0), ('gpt-4o-mini-2024-07-18', 0.15, 0.6), ('claude-opus-5-x', 15.0, 75.0), ('unknown', 3.0, 15.0), ('gpt-4.1-mini', 0.4, 1.6)) AS v(m, i, o)")
+def cost_estimate(spark, sf_dir):
+    rows = spark.createDataFrame([(m,) for m in MODELS], "model string")
+    return rows.select("model", F.round(corpus.cost(F.col("model"), F.lit(1_000_000), F.lit(500_000)), 6).alias("cost"))
+
+
+CANDIDATES = f"{TOKENS_OF}, c AS (SELECT doc_id, tokens FROM documents JOIN t USING (doc_id) WHERE tokens >= 600 AND NOT (doc_id % 7 = 0) AND lang IN ('en', 'fr') AND (doc_id % 3 = 0 OR doc_id % 3 = 1))"
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    """Documents whose summary is missing (remainder 0 of 3), stale (1) or fresh (2)."""
+    sha = F.sha2(F.col("text"), 256)
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("language"), T.token_count(F.col("text")).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("is_config"), sha.alias("sha256"),
+        F.when(F.col("doc_id") % 3 != 0, "s").alias("summary"), F.when(F.col("doc_id") % 3 == 2, sha).when(F.col("doc_id") % 3 == 1, "old").alias("summary_sha"),
+    )
+    return corpus.summary_candidates(rows, ("en", "fr"))
+
+
+@query(f"WITH {CANDIDATES} SELECT * FROM c")
+def summary_candidates(spark, sf_dir):
+    return candidates(spark, sf_dir).select("doc_id", "tokens")
+
+
+@query(f"WITH {CANDIDATES} SELECT count(*) AS files, coalesce(sum(least(tokens, 1500) + 200), 0)::BIGINT AS tokens FROM c")
+def summary_estimate(spark, sf_dir):
+    return candidates(spark, sf_dir).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.least("tokens", F.lit(1500)) + 200), F.lit(0)).alias("tokens"))
+
+
+PACK = f"{TOKENS_OF}, c AS (SELECT doc_id, lang, tokens, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents JOIN t USING (doc_id)), best AS (SELECT * FROM c WHERE r <= 60)"
+
+
+def best(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", T.token_count(F.col("text")).alias("tokens"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
+    return docs.withColumn("r", rank).filter("r <= 60")
+
+
+@query(f"WITH RECURSIVE {PACK}, g AS (SELECT lang, 0::BIGINT AS r, 0::BIGINT AS used, 0::BIGINT AS n, NULL::BIGINT AS kept, NULL::BIGINT AS cost FROM best GROUP BY lang UNION ALL SELECT g.lang, b.r, used + CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN b.tokens ELSE 0 END, n + CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN 1 ELSE 0 END, CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN b.doc_id END, CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN b.tokens END FROM g JOIN best b ON b.lang = g.lang AND b.r = g.r + 1) SELECT lang, n AS ord, kept AS doc_id, cost AS tokens FROM g WHERE kept IS NOT NULL")
+def pack_first_fit(spark, sf_dir):
+    return packing.first_fit(best(spark, sf_dir), "lang", [F.col("r")], "doc_id", "tokens", 30_000)
+
+
+@query(f"WITH {PACK}, u AS (SELECT lang, doc_id, r AS ord, sum(tokens) OVER (PARTITION BY lang ORDER BY r)::BIGINT AS used FROM best WHERE r <= 40) SELECT * FROM u WHERE used <= 60000")
+def pack_take_while(spark, sf_dir):
+    return packing.take_while(best(spark, sf_dir), "lang", [F.col("r")], "tokens", 60_000).select("lang", "doc_id", "ord", "used")
+
+
+@query(f"WITH RECURSIVE {PACK}, g AS (SELECT lang, 0::BIGINT AS r, 0 AS n, 0 AS tests, NULL::BIGINT AS kept FROM best GROUP BY lang UNION ALL SELECT g.lang, b.r, n + CASE WHEN b.doc_id % 2 = 0 AND tests >= 0.34 * (n + 1) THEN 0 ELSE 1 END, tests + CASE WHEN b.doc_id % 2 = 0 AND NOT tests >= 0.34 * (n + 1) THEN 1 ELSE 0 END, CASE WHEN b.doc_id % 2 = 0 AND tests >= 0.34 * (n + 1) THEN NULL ELSE b.doc_id END FROM g JOIN best b ON b.lang = g.lang AND b.r = g.r + 1 AND b.r <= 30) SELECT lang, kept AS doc_id FROM g WHERE kept IS NOT NULL")
+def signature_share_cap(spark, sf_dir):
+    rows = best(spark, sf_dir).withColumn("is_test", F.col("doc_id") % 2 == 0)
+    return packing.test_capped(rows, "lang", [F.col("r")], "is_test").select("lang", "doc_id")
+
+
+@query("WITH x AS (SELECT conv_id, turn * 10 AS a, turn * 10 + length(text) % 25 AS b FROM conversations), y AS (SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY conv_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM x), z AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS run FROM y) SELECT conv_id, min(a) AS first, max(b) AS last FROM z GROUP BY conv_id, run")
+def region_merge(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") * 10).alias("first"), (F.col("turn") * 10 + F.length("text") % 25).alias("last"))
+    return packing.merged_ranges(rows, ["conv_id"], "first", "last")
+
+
+DIFF = "diff --git a/src/a.py b/src/a.py\n+x\ndiff --git a/old.ts b/new.ts\n-y\n"
+
+
+@query("SELECT unnest(['src/a.py', 'new.ts']) AS path")
+def diff_paths(spark, sf_dir):
+    return spark.createDataFrame([(DIFF,)], "diff string").select(F.explode(T.diff_paths(F.col("diff"))).alias("path"))
+
+
+@query(f"WITH {PACK}, r AS (SELECT lang, doc_id, r FROM best) SELECT lang, doc_id, 'rank ' || r AS line FROM r WHERE r <= 5")
+def signature_lines(spark, sf_dir):
+    return best(spark, sf_dir).filter("r <= 5").select("lang", "doc_id", F.concat(F.lit("rank "), "r").alias("line"))
+
+
+@query("SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x : trim(x)), lambda x : regexp_matches(x, '^[-*1-9]'))) AS bullet FROM conversations")
+def rules_bullets(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.rules_bullets(F.col("text"))).alias("bullet"))
+
+
+@query("SELECT doc_id, CASE WHEN regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-+$', ''), '^$', 'task') = '' THEN 'task' ELSE regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-+$', ''), '^$', 'task') END AS slug FROM documents")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.slugify(F.col("text")).alias("slug"))
+
+
+@query(f"WITH task AS (SELECT unnest({TOKENS.format(x='text')}) AS term FROM benchmark) SELECT term, count(*) AS n FROM task GROUP BY 1")
+def task_terms(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def star_rollup(spark, sf_dir):
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    return rows.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query()
+def context_package(spark, sf_dir):
+    """Rank every document for one task and pack the best into a budget."""
+    return context.build(files(spark, sf_dir), tasks(spark, sf_dir).filter("task_id = 0"), budget=12_000).package
+
+
+@query()
+def parse_symbols(spark, sf_dir):
+    """Symbols of a few source texts, one for each parser."""
+    return parsers.symbols(parsers.samples(spark))
+
+
+@query()
+def parse_imports(spark, sf_dir):
+    return parsers.imports(parsers.samples(spark))
+
+
+@query()
+def structural_summary(spark, sf_dir):
+    return parsers.structural_summary(parsers.symbols(parsers.samples(spark)), parsers.imports(parsers.samples(spark)), "path")

@@ -1,0 +1,61 @@
+"""From a task to a package: rank narrow columns first, then join texts back for the few that are packed."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
+
+from ..functions import paths
+from ..functions import text as T
+from ..operators import packing, ranking
+
+#: Candidates that any tier can look at.
+TIERS = packing.FULL_FILES + packing.SIGNATURE_FILES + packing.MAP_FILES
+
+
+@dataclass
+class Context:
+    ranked: DataFrame
+    selections: DataFrame
+    package: DataFrame
+
+
+def rank(files: DataFrame, task: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """(path, score, one column for each signal) of the files that score above 0 for one task (task_id, text)."""
+    w = ranking.WEIGHTS | (weights or {})
+    narrow = files.select("path", "language", "module", paths.is_test_path(F.col("path")).alias("is_test"))
+    posting = ranking.postings(files, "path", F.col("path"), F.col("text")).persist(StorageLevel.MEMORY_AND_DISK)
+    scores = ranking.lexical(ranking.bm25(posting, task, "path"), weight=w["lexical"]).select("path", "lexical")
+    asked = F.broadcast(task.select(F.col("text").alias("task")))
+    rows = narrow.join(scores, "path", "left").join(asked).withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
+    rows = rows.withColumn("explicit_reference", w["explicit_reference"] * ranking.explicit_reference(F.col("path"), F.col("task")))
+    prior = ranking.type_prior(F.col("language"))
+    rows = rows.withColumn("lexical", F.col("lexical") * prior).withColumn("explicit_reference", F.col("explicit_reference") * prior)
+    rows = rows.withColumn("score", F.col("lexical") + F.col("explicit_reference"))
+    match = ranking.module_match(rows.select("path", "module"), ranking.seeds(rows.select("path", "score"), "path"), "path", weight=w["module_match"])
+    rows = rows.join(match, "path", "left").withColumn("module_match", F.coalesce("module_match", F.lit(0.0)))
+    total = ranking.test_adjusted(F.col("score") + F.col("module_match"), F.col("is_test"), F.lit(False), ranking.about_tests(F.col("task")), w["test_relevance"])
+    return rows.withColumn("score", F.round(total, 9)).filter("score > 0").select("path", "language", "is_test", "score", "lexical", "explicit_reference", "module_match")
+
+
+def build(files: DataFrame, task: DataFrame, budget: int = 12_000, reserve: int = 800) -> Context:
+    """Full sources first, then maps: each tier takes what fits in what the ones before left."""
+    # read by every tier; narrow, and recomputed if an executor that holds a part is lost
+    ranks = rank(files, task).persist(StorageLevel.MEMORY_AND_DISK)
+    top = ranks.orderBy(F.desc("score"), "path").limit(TIERS)
+    best = F.max("score").over(Window.partitionBy(F.lit(0)))  # over at most TIERS rows
+    top = top.withColumn("best", best).join(files.select("path", "text"), "path").withColumn("cost", T.token_count(F.col("text"))).withColumn("g", F.lit(0)).drop("text").persist(StorageLevel.MEMORY_AND_DISK)
+    full = packing.first_fit(top.filter((F.col("score") >= packing.FULL_RATIO * F.col("best")) & (F.col("score") >= packing.FULL_LEAST)), "g", [F.desc("score"), F.col("path")], "path", "cost", int((budget - reserve) * packing.FULL_SHARE))
+    used = full.agg(F.coalesce(F.sum("cost"), F.lit(0)).alias("spent"))
+    maps = top.join(full.select("path"), "path", "left_anti").withColumn("cost", T.token_count(F.concat("path", F.lit("\n")))).join(F.broadcast(used))
+    w = Window.partitionBy("g").orderBy(F.desc("score"), "path").rowsBetween(Window.unboundedPreceding, 0)
+    maps = maps.withColumn("sum", F.sum("cost").over(w)).filter(F.col("sum") + F.col("spent") <= budget - reserve)
+    rows = full.select("path", F.lit("full").alias("representation"), "cost").unionByName(maps.select("path", F.lit("map").alias("representation"), "cost"))
+    selections = rows.join(ranks, "path").select("path", "representation", F.col("cost").alias("tokens"), F.round("score", 6).alias("score"))
+    considered = ranks.agg(F.count("*").alias("considered"), F.round(F.max("score"), 6).alias("top_score"))
+    package = selections.agg(F.count(F.when(F.col("representation") != "map", 1)).alias("selected"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+    package = package.join(F.broadcast(considered)).withColumn("budget", F.lit(budget)).withColumn("low_confidence", F.coalesce(F.col("top_score") < packing.CONFIDENT, F.lit(True)))
+    return Context(ranks, selections, package)
