@@ -20,6 +20,8 @@ from .common import column, map_batches, written
 from .wordpieces import encoder
 
 _RANK = 44
+#: Parts that pieces of one length are numbered in; with the capacity it bounds the table of their counts.
+SALTS = 128
 
 
 def fullest(left: dict[int, int], room: int) -> Counter:
@@ -85,8 +87,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int, id_col: str =
 def bins(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """pieces with sequence_id and offset.  ``length`` is 1 to capacity; ``order`` tells rows of one length apart."""
     spark = pieces.sparkSession
-    salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    pieces = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
     groups = pieces.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     groups = written(groups, "lengths")
     counts = {r[0]: r[1] for r in groups.groupBy("length").agg(F.sum("_n")).collect()}  # capacity rows at most
