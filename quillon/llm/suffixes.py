@@ -136,7 +136,7 @@ class _Bucket:
     schema = ["key", "seg", "off", "n", "value"]
 
     def __init__(self, length: int):
-        self.length = length
+        self.length, self.piece = length, PIECE_BYTES
 
     def rows(self, held: list[tuple]) -> tuple[np.ndarray, ...]:
         """(bytes, window starts, row of each window, distance of each from its anchor)."""
@@ -183,13 +183,13 @@ class _Bucket:
             for r in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 if last and r[:2] == last[:2]:
                     continue
-                if last and r[0] != last[0] and (open_first or size >= PIECE_BYTES):
+                if last and r[0] != last[0] and (open_first or size >= self.piece):
                     yield from filter(None, [self.across(held) if open_first else self.resolved(held)])
                     held, size, open_first = [], 0, False
-                elif size >= PIECE_BYTES and (open_first or held[0][0] == r[0]):
+                elif size >= self.piece and (open_first or held[0][0] == r[0]):
                     yield from filter(None, [self.across(held)])
                     held, size, open_first = [], 0, True
-                elif size >= 2 * PIECE_BYTES:
+                elif size >= 2 * self.piece:
                     cut = next(i for i, h in enumerate(held) if h[0] == r[0])
                     yield from filter(None, [self.resolved(held[:cut])])
                     held = held[cut:]
