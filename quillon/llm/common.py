@@ -45,13 +45,14 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from one record batch to one record batch."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
+    """mapInArrow with a function from one record batch, of ``rows`` at most, to one record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := function(batch)) is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, rows):
+                if (out := function(batch.slice(at, rows))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 

@@ -218,40 +218,95 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / every if every else 1.0
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, bits: int = 29, text_col: str = "text") -> DataFrame:
+def close_rows(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """Of rows sorted by key: for each key a spanning forest of its pairs that differ in ``bits`` at most, closest first."""
+    ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
+    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(keys))  # rows of the key from here on
+    parent: dict[int, int] = {}
+    out, held, count = [], [], 0
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    def settle() -> None:
+        if held:
+            i, o, d = (np.concatenate(c) for c in zip(*held))
+            at = np.argsort(d, kind="stable")
+            for x, y in zip(i[at].tolist(), (i + o)[at].tolist()):
+                a, b = find(x), find(y)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    out.append((x, y))
+            held.clear()
+
+    at, offset = np.flatnonzero(left > 1), 1
+    while len(at):
+        d = sum(np.bitwise_count(p[at] ^ p[at + offset]).astype(np.int64) for p in prints)
+        ok = d <= bits
+        if ok.any():
+            held.append((at[ok], np.full(int(ok.sum()), offset), d[ok]))
+            count += int(ok.sum())
+        if count >= 500_000:
+            settle()
+            count = 0
+        offset += 1
+        at = at[left[at] > offset]
+    settle()
+    return out
+
+
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, bits: int = 38, text_col: str = "text") -> DataFrame:
     """(d, component): texts (by XXH64 of their lower-cased words) that chains of similar texts connect.
 
-    Links are pairs whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more, verified exactly.
-    Candidates come from 192-bit fingerprints, of two-word shingles because an edit changes fewer of these: pairs of Golay
-    segments give 2 x 12 key bits for each pair of near indices, and ``bits`` at most may differ.
+    A link is a pair whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more, verified exactly.
+    Candidates share a key of two Golay segments of a 192-bit fingerprint of two-word shingles (an edit changes fewer of
+    these) and differ in ``bits`` at most in a 192-bit fingerprint of the ``shingle``-word ones.  Of the candidates of one key a
+    spanning forest, closest pairs first, is verified: a group of m near copies costs m - 1 verifications a key.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = ["d", "w0", "w1", "w2", "v0", "v1", "v2"]
 
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts(batch)
-        w = np.frombuffer(b"".join([wide_fingerprint(x, print_shingle) or bytes(24) for x in t]), ">i8").astype(np.int64).reshape(-1, 3)
+        w, v = (np.frombuffer(b"".join([wide_fingerprint(x, k) or bytes(24) for x in t]), ">i8").astype(np.int64).reshape(-1, 3) for k in (print_shingle, shingle))
         sets = [shingle_set(x, shingle) for x in t]
         arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-        return pa.RecordBatch.from_arrays([pa.array([same_words(x) for x in t], pa.int64()), *(pa.array(w[:, k]) for k in range(3)), arrays], ["d", "w0", "w1", "w2", "s"])
+        cols = [pa.array([same_words(x) for x in t], pa.int64()), *(pa.array(x[:, k]) for x in (w, v) for k in range(3)), arrays]
+        return pa.RecordBatch.from_arrays(cols, [*names, "s"])
 
-    texts_of = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), prints, "d long, w0 long, w1 long, w2 long, s array<long>")
+    texts_of = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), prints, ", ".join(f"{c} long" for c in names) + ", s array<long>")
     # copies of a text leave here; the rest is one row for each different text
     every = written(texts_of.dropDuplicates(["d"]), "shingles")
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        cols = [column(batch, c).to_numpy(zero_copy_only=False) for c in ("d", "w0", "w1", "w2")]
-        out = []
-        for at in range(0, len(cols[0]), 1024):
-            part = [c[at : at + 1024] for c in cols]
-            rows, keys = wide_keys(np.stack(part[1:], 1).astype(">i8").view(np.uint8).reshape(-1, 24))
-            out.append([keys, *(c[rows] for c in part)])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["key", "d", "w0", "w1", "w2"])
-
-    rows = map_batches(every.select("d", "w0", "w1", "w2").repartition(n, "d"), keys, "key long, d long, w0 long, w1 long, w2 long")
-    rows = written(rows, "keys")
-    other = rows.select("key", *(F.col(c).alias(c + "_") for c in ("d", "w0", "w1", "w2")))
-    differ = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(c + "_"))) for c in ("w0", "w1", "w2"))
-    pairs = written(rows.join(other, "key").filter("d < d_").filter(differ <= bits).select("d", "d_").distinct(), "pairs")
+        d, *cols = (column(batch, c).to_numpy(zero_copy_only=False) for c in names)
+        rows, key = wide_keys(np.stack(cols[:3], 1).astype(">i8").view(np.uint8).reshape(-1, 24))
+        return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[rows]) for c in (d, *cols[3:]))], ["key", "d", "v0", "v1", "v2"])
+
+    def linked(batches):
+        held: list[pa.RecordBatch] = []
+
+        def pairs(rows: pa.Table):
+            key, d, *v = (rows.column(c).to_numpy() for c in ("key", "d", "v0", "v1", "v2"))
+            if found := close_rows(key, [x.view(np.uint64) for x in v], bits):
+                x, y = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[x], d[y])), pa.array(np.maximum(d[x], d[y]))], ["d", "d_"])
+
+        for batch in batches:
+            held.append(batch)
+            key = column(batch, "key").to_numpy(zero_copy_only=False)
+            if sum(b.num_rows for b in held) >= 100_000 and (cut := int(np.searchsorted(key, key[-1]))):
+                yield from pairs(pa.Table.from_batches([*held[:-1], batch.slice(0, cut)]))
+                held = [batch.slice(cut)]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    rows = map_batches(every.select(*names).repartition(n, "d"), keys, "key long, d long, v0 long, v1 long, v2 long")
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
+    pairs = written(dealt.mapInArrow(linked, "d long, d_ long").distinct(), "pairs")
     sets = every.select("d", "s")
     both = pairs.join(sets, "d").withColumnRenamed("s", "x").join(sets.select(F.col("d").alias("d_"), F.col("s").alias("y")), "d_")
 

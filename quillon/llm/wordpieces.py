@@ -20,7 +20,7 @@ OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-įı-ňŊ-ž]")
 #: The vocabulary file's own split pattern (fixed value).
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Characters of text whose words are looked up together.
 RUN_CHARS = 6 << 20
 
