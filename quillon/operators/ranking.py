@@ -48,11 +48,19 @@ def lexical(scores: DataFrame, task: str = "task_id", weight: float = 1.0) -> Da
     return scores.join(best, task).withColumn("lexical", weight * F.col("score") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).drop("best")
 
 
-def explicit_reference(path: Column, task: Column, names: Column | None = None) -> Column:
-    """Share of the explicit weight: a path or long file name in the task, then its stem, then a name it defines."""
+def identifiers(task: Column) -> Column:
+    """Words of a task that look like identifiers."""
+    return F.filter(T.words(task), T.looks_like_identifier)
+
+
+def explicit_reference(path: Column, task: Column, names: Column | None = None, asked: Column | None = None) -> Column:
+    """Share of the explicit weight: a path or long file name in the task, then its stem, then a name it defines.
+
+    ``asked``: the task's ``identifiers``, where they have been computed once for all files.
+    """
     base = F.regexp_extract(path, r"([^/]*)$", 1)
     stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
-    asked = F.filter(T.words(task), T.looks_like_identifier)
+    asked = identifiers(task) if asked is None else asked
     whole = task.contains(path) | ((F.length(base) > 6) & task.contains(base))
     out = F.when(whole, 1.0).when(F.array_contains(asked, stem), 0.8)
     return (out.when(F.arrays_overlap(names, asked), 0.6) if names is not None else out).otherwise(0.0)

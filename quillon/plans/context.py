@@ -29,12 +29,13 @@ def rank(files: DataFrame, task: DataFrame, weights: dict[str, float] | None = N
     narrow = files.select("path", "language", "module", paths.is_test_path(F.col("path")).alias("is_test"))
     posting = ranking.postings(files, "path", F.col("path"), F.col("text")).persist(StorageLevel.MEMORY_AND_DISK)
     scores = ranking.lexical(ranking.bm25(posting, task, "path"), weight=w["lexical"]).select("path", "lexical")
-    asked = F.broadcast(task.select(F.col("text").alias("task")))
+    # read more than once below: expressions over the whole task stay out of the rows, and rows are ranked once
+    asked = F.broadcast(task.select(F.col("text").alias("task"), ranking.identifiers(F.col("text")).alias("asked")))
     rows = narrow.join(scores, "path", "left").join(asked).withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
-    rows = rows.withColumn("explicit_reference", w["explicit_reference"] * ranking.explicit_reference(F.col("path"), F.col("task")))
+    rows = rows.withColumn("explicit_reference", w["explicit_reference"] * ranking.explicit_reference(F.col("path"), F.col("task"), asked=F.col("asked")))
     prior = ranking.type_prior(F.col("language"))
     rows = rows.withColumn("lexical", F.col("lexical") * prior).withColumn("explicit_reference", F.col("explicit_reference") * prior)
-    rows = rows.withColumn("score", F.col("lexical") + F.col("explicit_reference"))
+    rows = rows.withColumn("score", F.col("lexical") + F.col("explicit_reference")).persist(StorageLevel.MEMORY_AND_DISK)
     match = ranking.module_match(rows.select("path", "module"), ranking.seeds(rows.select("path", "score"), "path"), "path", weight=w["module_match"])
     rows = rows.join(match, "path", "left").withColumn("module_match", F.coalesce("module_match", F.lit(0.0)))
     total = ranking.test_adjusted(F.col("score") + F.col("module_match"), F.col("is_test"), F.lit(False), ranking.about_tests(F.col("task")), w["test_relevance"])
