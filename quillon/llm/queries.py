@@ -23,10 +23,15 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, profiles).select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def training_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled documents outside the held-out fold."""
+def training_labels(docs: DataFrame, labels: DataFrame, rows_for_each: int = 10_000) -> DataFrame:
+    """(text, toxic) of labelled documents outside the held-out fold, of each label at most ``rows_for_each`` rows of ``labels``.
+
+    The rows are those of the smallest hashes of their ids.  That bound of the fit bounds what is broadcast, so no text is
+    shuffled to its label.
+    """
     labels = labels.filter(fold(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
-    return docs.select("doc_id", "text").join(labels, "doc_id").select("text", "toxic")
+    some = [labels.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_for_each) for y in (0, 1)]
+    return docs.select("doc_id", "text").join(F.broadcast(some[0].unionByName(some[1])), "doc_id").select("text", "toxic")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
