@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, map_batches, texts, written
+from .common import column, components, map_batches, release, texts, written
 
 #: Generator polynomial of the (23, 12, 7) code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -272,14 +272,18 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pr
     def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts(batch)
         w, v = (np.frombuffer(b"".join([wide_fingerprint(x, k) or bytes(24) for x in t]), ">i8").astype(np.int64).reshape(-1, 3) for k in (print_shingle, shingle))
+        cols = [pa.array([same_words(x) for x in t], pa.int64()), *(pa.array(x[:, k]) for x in (w, v) for k in range(3))]
+        return pa.RecordBatch.from_arrays(cols, names)
+
+    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+        t = texts(batch)
         sets = [shingle_set(x, shingle) for x in t]
         arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-        cols = [pa.array([same_words(x) for x in t], pa.int64()), *(pa.array(x[:, k]) for x in (w, v) for k in range(3)), arrays]
-        return pa.RecordBatch.from_arrays(cols, [*names, "s"])
+        return pa.RecordBatch.from_arrays([pa.array([same_words(x) for x in t], pa.int64()), arrays], ["d", "s"])
 
-    texts_of = map_batches(docs.select(F.col(text_col).cast("string").alias("text")), prints, ", ".join(f"{c} long" for c in names) + ", s array<long>")
+    src = docs.select(F.col(text_col).cast("string").alias("text"))
     # copies of a text leave here; the rest is one row for each different text
-    every = written(texts_of.dropDuplicates(["d"]), "shingles")
+    every = written(map_batches(src, prints, ", ".join(f"{c} long" for c in names)).dropDuplicates(["d"]), "prints")
 
     def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
         d, *cols = (column(batch, c).to_numpy(zero_copy_only=False) for c in names)
@@ -304,10 +308,14 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pr
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    rows = map_batches(every.select(*names).repartition(n, "d"), keys, "key long, d long, v0 long, v1 long, v2 long")
+    rows = map_batches(every.repartition(n, "d"), keys, "key long, d long, v0 long, v1 long, v2 long")
     dealt = rows.repartition(n, "key").sortWithinPartitions("key")
     pairs = written(dealt.mapInArrow(linked, "d long, d_ long").distinct(), "pairs")
-    sets = every.select("d", "s")
+    release(docs.sparkSession)
+    # whole sets are made, and kept, for the texts of candidate pairs alone
+    ends = pairs.select(F.explode(F.array("d", "d_")).alias("d")).distinct()
+    sets = written(map_batches(src, shingles, "d long, s array<long>", 200).dropDuplicates(["d"]).join(ends, "d", "left_semi"), "shingles")
+    release(docs.sparkSession)
     both = pairs.join(sets, "d").withColumnRenamed("s", "x").join(sets.select(F.col("d").alias("d_"), F.col("s").alias("y")), "d_")
 
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
