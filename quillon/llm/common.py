@@ -17,6 +17,9 @@ WORD_TABLE = bytes(
     for b in range(256)
 )
 
+#: Bytes of an Arrow batch, where nothing is summed over it.
+BATCH_BYTES = 4 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
@@ -52,8 +55,13 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000) -> DataFrame:
-    """mapInArrow with a function from one record batch, of ``rows`` at most, to one record batch."""
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """mapInArrow with a function from one record batch, of ``rows`` at most, to one record batch.
+
+    Sets the session's bytes for each Arrow batch to ``batch_bytes``: JVM and Python hold a few batches a task at once.  A
+    function that sums over its batch shuffles less with larger ones.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

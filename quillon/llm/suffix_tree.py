@@ -132,7 +132,7 @@ def vocabulary(docs: DataFrame, training: Column, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
     src = docs.select(F.col(text_col).cast("string").alias("text"), training.alias("trains"))
-    return map_batches(src, run, "word binary, c long", 10_000).groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(src, run, "word binary, c long", 10_000, 64 << 20).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def fit_tree(training: DataFrame, least_share: float = 5e-7, text_col: str = "text") -> SuffixTree:
@@ -147,7 +147,7 @@ def fit_tree(training: DataFrame, least_share: float = 5e-7, text_col: str = "te
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64))], ["key", "n"])
 
-    counted = map_batches(training.select(F.col(text_col).cast("string").alias("text")), run, "key long, n long", 10_000).groupBy("key").agg(F.sum("n").alias("n"))
+    counted = map_batches(training.select(F.col(text_col).cast("string").alias("text")), run, "key long, n long", 10_000, 64 << 20).groupBy("key").agg(F.sum("n").alias("n"))
     counted = written(counted, "contexts")
     least = (counted.agg(F.sum("n")).first()[0] or 0) * least_share
     rows = []
