@@ -309,7 +309,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pr
             yield from pairs(pa.Table.from_batches(held))
 
     rows = map_batches(every.repartition(n, "d"), keys, "key long, d long, v0 long, v1 long, v2 long")
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key")
+    # by d too, so that the forest of a key is the same whatever order its rows come in
+    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "d")
     pairs = written(dealt.mapInArrow(linked, "d long, d_ long").distinct(), "pairs")
     release(docs.sparkSession)
     # whole sets are made, and kept, for the texts of candidate pairs alone
