@@ -184,8 +184,10 @@ WIDE = 192
 
 
 def wide_fingerprint(text: bytes, shingle: int) -> bytes:
-    """192-bit fingerprint, as 24 bytes."""
-    return _majority(_hashes(text, shingle, lambda x: xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x, 1)), WIDE // 8)
+    """192-bit fingerprint, as 24 bytes, of a text's distinct shingles: similarity is that of sets."""
+    size = WIDE // 8
+    rows = _hashes(text, shingle, lambda x: xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x, 1))
+    return _majority(b"".join({rows[at : at + size] for at in range(0, len(rows), size)}), size)
 
 
 def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -64,6 +64,20 @@ def test_simhash(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 8, 9, 10]
 
 
+def made_words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
+
+
+def test_near_copies_with_repeated_lines(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(12):
+        words, line = made_words(rng, 200), made_words(rng, 8)
+        rows += [(2 * k, " ".join(words + line)), (2 * k + 1, " ".join(words + line * (8 if k % 2 else 50)))]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [2 * k for k in range(12)]
+
+
 def test_repeats_equal_brute_force(spark, awkward):
     texts = {}
     for r in awkward.collect():
