@@ -179,36 +179,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of a wide fingerprint: eight Golay segments and eight bits that only the verification sees.
-WIDE = 192
-
-
-def wide_fingerprint(text: bytes, shingle: int) -> bytes:
-    """192-bit fingerprint, as 24 bytes, of a text's distinct shingles: similarity is that of sets."""
-    size = WIDE // 8
-    rows = _hashes(text, shingle, lambda x: xxhash.xxh3_128_digest(x) + xxhash.xxh64_digest(x, 1))
-    return _majority(b"".join({rows[at : at + size] for at in range(0, len(rows), size)}), size)
-
-
-def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, keys) of fingerprints (rows of 24 bytes): four pairs of segments, every pair of near indices."""
-    bits = np.unpackbits(prints, axis=1)[:, : 8 * 23].reshape(len(prints), 8, 23)
-    seg = bits.astype(np.int64) @ (1 << np.arange(22, -1, -1))
-    rows, keys = [], []
-    for pair in range(4):
-        a, b = near_indices(seg[:, 2 * pair], 23), near_indices(seg[:, 2 * pair + 1], 23)
-        ua, ub = _distinct(a), _distinct(b)
-        ra, ca = np.nonzero(ua)
-        cb, counts = np.nonzero(ub)[1], ub.sum(1)
-        starts = np.cumsum(counts) - counts
-        rep = counts[ra]
-        r = np.repeat(ra, rep)
-        within = np.arange(len(r)) - np.repeat(np.cumsum(rep) - rep, rep)
-        rows.append(r)
-        keys.append(pair << 24 | np.repeat(a[ra, ca], rep) << 12 | b[r, cb[starts[r] + within]])
-    return np.concatenate(rows), np.concatenate(keys)
-
-
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(np.frombuffer(_hashes(text, shingle, lambda x: xxhash.xxh64_digest(x, 42)), ">u8").astype(np.uint64).view(np.int64))
 
@@ -220,10 +190,52 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / every if every else 1.0
 
 
-def close_rows(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Of rows sorted by key: for each key a spanning forest of its pairs that differ in ``bits`` at most, closest first."""
+#: Bits of a parity print: bit k tells whether an odd number of a set's shingles fall on k.
+PARITY = 192
+
+
+def parity_print(shingles: np.ndarray) -> bytes:
+    """24 bytes; two sets differ in at least as many shingles as their prints differ in bits."""
+    return np.packbits(np.bincount(shingles.view(np.uint64) % np.uint64(PARITY), minlength=PARITY).astype(np.uint8) & 1).tobytes()
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set in one order of all shingles, so many that similar sets share one of them.
+
+    The order: shingles that are not ``common`` (sorted; ``ranks`` of at least 1 beside them), then by rank; by value in each.
+    Any order finds every pair; rare shingles first keep the groups small.
+    """
+    rank = np.zeros(len(shingles), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        hit = common[at] == shingles
+        rank[hit] = ranks[at[hit]]
+    least = int(np.ceil(similarity * len(shingles) - 1e-9))
+    return shingles[np.lexsort((shingles, rank))][: len(shingles) - least + 1]
+
+
+def common_shingles(src: DataFrame, shingle: int, sampled: int = 20_000, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) that three or more of about ``sampled`` texts hold.  They only order the shingles of a prefix."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate([shingle_set(t, shingle) for t in texts(batch)]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+    share = max(1, src.count() // sampled)
+    some = map_batches(src.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0), run, "key long, n long")
+    found = some.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "key").limit(most).toPandas().sort_values("key")
+    return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Of rows sorted by key: for each key a spanning forest of its pairs that can be similar, closest prints first.
+
+    A pair cannot be if the sets' sizes, the shingles left behind the key's ``places`` in their orders, or the bits in which
+    the parity prints differ leave too few in common; no similar pair is dropped at the first shingle that it shares.
+    """
     ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
     left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(keys))  # rows of the key from here on
+    after = sizes - places
     parent: dict[int, int] = {}
     out, held, count = [], [], 0
 
@@ -246,8 +258,11 @@ def close_rows(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[in
 
     at, offset = np.flatnonzero(left > 1), 1
     while len(at):
-        d = sum(np.bitwise_count(p[at] ^ p[at + offset]).astype(np.int64) for p in prints)
-        ok = d <= bits
+        to = at + offset
+        both = sizes[at] + sizes[to]
+        need = np.ceil(similarity / (1 + similarity) * both - 1e-9).astype(np.int64)
+        d = sum(np.bitwise_count(p[at] ^ p[to]).astype(np.int64) for p in prints)
+        ok = (d <= both - 2 * need) & (np.minimum(after[at], after[to]) >= need)
         if ok.any():
             held.append((at[ok], np.full(int(ok.sum()), offset), d[ok]))
             count += int(ok.sum())
@@ -260,46 +275,45 @@ def close_rows(keys: np.ndarray, prints: np.ndarray, bits: int) -> list[tuple[in
     return out
 
 
-def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, print_shingle: int = 2, bits: int = 38, text_col: str = "text") -> DataFrame:
+def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text") -> DataFrame:
     """(d, component): texts (by XXH64 of their lower-cased words) that chains of similar texts connect.
 
     A link is a pair whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more, verified exactly.
-    Candidates share a key of two Golay segments of a 192-bit fingerprint of two-word shingles (an edit changes fewer of
-    these) and differ in ``bits`` at most in a 192-bit fingerprint of the ``shingle``-word ones.  Of the candidates of one key a
+    Candidates share a shingle of their prefixes, which every such pair does.  Of the candidates of one key a
     spanning forest, closest pairs first, is verified: a group of m near copies costs m - 1 verifications a key.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = ["d", "w0", "w1", "w2", "v0", "v1", "v2"]
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    src = docs.select(F.col(text_col).cast("string").alias("text"))
+    common = spark.sparkContext.broadcast(common_shingles(src, shingle))
+
+    def listed(sets: list[np.ndarray]) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
 
-    def prints(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def prefixes(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts(batch)
-        w, v = (np.frombuffer(b"".join([wide_fingerprint(x, k) or bytes(24) for x in t]), ">i8").astype(np.int64).reshape(-1, 3) for k in (print_shingle, shingle))
-        cols = [pa.array([same_words(x) for x in t], pa.int64()), *(pa.array(x[:, k]) for x in (w, v) for k in range(3))]
-        return pa.RecordBatch.from_arrays(cols, names)
+        sets = [shingle_set(x, shingle) for x in t]
+        v = np.frombuffer(b"".join(map(parity_print, sets)), ">i8").astype(np.int64).reshape(-1, 3)
+        first = listed([prefix(s, *common.value, similarity) for s in sets])
+        cols = [pa.array([same_words(x) for x in t], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v[:, k]) for k in range(3)), first]
+        return pa.RecordBatch.from_arrays(cols, ["d", "n", "v0", "v1", "v2", "s"])
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts(batch)
-        sets = [shingle_set(x, shingle) for x in t]
-        arrays = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(s) for s in sets]), pa.int32()), pa.array(np.concatenate([*sets, np.zeros(0, np.int64)])))
-        return pa.RecordBatch.from_arrays([pa.array([same_words(x) for x in t], pa.int64()), arrays], ["d", "s"])
+        return pa.RecordBatch.from_arrays([pa.array([same_words(x) for x in t], pa.int64()), listed([shingle_set(x, shingle) for x in t])], ["d", "s"])
 
-    src = docs.select(F.col(text_col).cast("string").alias("text"))
     # copies of a text leave here; the rest is one row for each different text
-    every = written(map_batches(src, prints, ", ".join(f"{c} long" for c in names)).dropDuplicates(["d"]), "prints")
-
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        d, *cols = (column(batch, c).to_numpy(zero_copy_only=False) for c in names)
-        rows, key = wide_keys(np.stack(cols[:3], 1).astype(">i8").view(np.uint8).reshape(-1, 24))
-        return pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(c[rows]) for c in (d, *cols[3:]))], ["key", "d", "v0", "v1", "v2"])
+    every = written(map_batches(src, prefixes, "d long, n long, v0 long, v1 long, v2 long, s array<long>").dropDuplicates(["d"]), "prefixes")
 
     def linked(batches):
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table):
-            key, d, *v = (rows.column(c).to_numpy() for c in ("key", "d", "v0", "v1", "v2"))
-            if found := close_rows(key, [x.view(np.uint64) for x in v], bits):
+            key, d, sizes, places, *v = (rows.column(c).to_numpy() for c in ("key", "d", "n", "i", "v0", "v1", "v2"))
+            if found := close_rows(key, sizes, places, [x.view(np.uint64) for x in v], similarity):
                 x, y = np.array(found).T
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(d[x], d[y])), pa.array(np.maximum(d[x], d[y]))], ["d", "d_"])
+                both = np.unique(np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y])]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["d", "d_"])
 
         for batch in batches:
             held.append(batch)
@@ -310,23 +324,25 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, pr
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    rows = map_batches(every.repartition(n, "d"), keys, "key long, d long, v0 long, v1 long, v2 long")
-    # by d too, so that the forest of a key is the same whatever order its rows come in
+    rows = every.select("d", "n", "v0", "v1", "v2", F.posexplode("s").alias("i", "key"))
     dealt = rows.repartition(n, "key").sortWithinPartitions("key", "d")
     pairs = written(dealt.mapInArrow(linked, "d long, d_ long").distinct(), "pairs")
-    release(docs.sparkSession)
+    release(spark)
     # whole sets are made, and kept, for the texts of candidate pairs alone
     ends = pairs.select(F.explode(F.array("d", "d_")).alias("d")).distinct()
     sets = written(map_batches(src, shingles, "d long, s array<long>", 200).dropDuplicates(["d"]).join(ends, "d", "left_semi"), "shingles")
-    release(docs.sparkSession)
-    both = pairs.join(sets, "d").withColumnRenamed("s", "x").join(sets.select(F.col("d").alias("d_"), F.col("s").alias("y")), "d_")
+    release(spark)
 
     def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
         x, y = column(batch, "x"), column(batch, "y")
         ok = [jaccard(x[k].values.to_numpy(), y[k].values.to_numpy()) >= similarity for k in range(batch.num_rows)]
         return pa.RecordBatch.from_arrays([column(batch, "d"), column(batch, "d_")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    found = components(map_batches(both.select("d", "d_", "x", "y"), verified, "u long, v long"))
+    def links(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets, "d").withColumnRenamed("s", "x").join(sets.select(F.col("d").alias("d_"), F.col("s").alias("y")), "d_")
+        return map_batches(both.select("d", "d_", "x", "y"), verified, "u long, v long")
+
+    found = components(links(pairs))
     return every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component"))
 
 

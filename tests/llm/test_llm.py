@@ -78,6 +78,37 @@ def test_near_copies_with_repeated_lines(spark):
     assert sorted(r.doc_id for r in kept) == [2 * k for k in range(12)]
 
 
+def brute_groups(texts):
+    """The texts' numbers by group, every pair compared."""
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in texts]
+    group = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def kept_of(spark, texts):
+    return sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+
+
+def test_pairs_close_to_the_threshold_are_linked(spark):
+    rng = np.random.default_rng(4)
+    texts = []
+    for size in (8, 9, 12, 40, 200):
+        for k in range(8):
+            words = made_words(rng, size)
+            more = max(1, (size - 4) // 4 - k % 2)
+            texts += [" ".join(words), " ".join(words + made_words(rng, more))]
+            at = int(rng.integers(0, size))
+            words[at : at + size // 12 + k % 2] = made_words(rng, size // 12 + k % 2)
+            texts.append(" ".join(words))
+    group = brute_groups(texts)
+    assert 40 < len(set(group)) < 120
+    assert kept_of(spark, texts) == sorted(group.index(g) for g in set(group))
+
+
 def test_repeats_equal_brute_force(spark, awkward):
     texts = {}
     for r in awkward.collect():
