@@ -227,8 +227,10 @@ def common_shingles(src: DataFrame, shingle: int, sampled: int = 20_000, most: i
     return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Of rows sorted by key: for each key a spanning forest of its pairs that can be similar, closest prints first.
+def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints: list[np.ndarray], similarity: float, groups: np.ndarray | None = None) -> np.ndarray:
+    """Two rows of numbers: pairs of rows, sorted by key, that can be similar.
+
+    Without ``groups`` a spanning forest of each key's pairs, closest prints first; with them every pair between two groups.
 
     A pair cannot be if the sets' sizes, the shingles left behind the key's ``places`` in their orders, or the bits in which
     the parity prints differ leave too few in common; no similar pair is dropped at the first shingle that it shares.
@@ -256,6 +258,9 @@ def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints:
                     out.append((x, y))
             held.clear()
 
+    def every() -> np.ndarray:
+        return np.concatenate([np.stack([i, i + o]) for i, o, _ in held], axis=1) if held else np.zeros((2, 0), np.int64)
+
     at, offset = np.flatnonzero(left > 1), 1
     while len(at):
         to = at + offset
@@ -263,16 +268,20 @@ def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints:
         need = np.ceil(similarity / (1 + similarity) * both - 1e-9).astype(np.int64)
         d = sum(np.bitwise_count(p[at] ^ p[to]).astype(np.int64) for p in prints)
         ok = (d <= both - 2 * need) & (np.minimum(after[at], after[to]) >= need)
+        if groups is not None:
+            ok &= groups[at] != groups[to]
         if ok.any():
             held.append((at[ok], np.full(int(ok.sum()), offset), d[ok]))
             count += int(ok.sum())
-        if count >= 500_000:
+        if count >= 500_000 and groups is None:
             settle()
             count = 0
         offset += 1
         at = at[left[at] > offset]
+    if groups is not None:
+        return every()
     settle()
-    return out
+    return np.array(out, np.int64).reshape(-1, 2).T
 
 
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text") -> DataFrame:
@@ -280,7 +289,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
 
     A link is a pair whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more, verified exactly.
     Candidates share a shingle of their prefixes, which every such pair does.  Of the candidates of one key a
-    spanning forest, closest pairs first, is verified: a group of m near copies costs m - 1 verifications a key.
+    spanning forest, closest pairs first, is verified: a group of m near copies costs m - 1 verifications a key.  Then every
+    other candidate pair is verified whose texts are still apart, so no link between two components is left.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -310,10 +320,13 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
 
         def pairs(rows: pa.Table):
             key, d, sizes, places, *v = (rows.column(c).to_numpy() for c in ("key", "d", "n", "i", "v0", "v1", "v2"))
-            if found := close_rows(key, sizes, places, [x.view(np.uint64) for x in v], similarity):
-                x, y = np.array(found).T
-                both = np.unique(np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["d", "d_"])
+            groups = rows.column("c").to_numpy() if "c" in rows.column_names else None
+            x, y = close_rows(key, sizes, places, [x.view(np.uint64) for x in v], similarity, groups)
+            if len(x):
+                both = np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y])])[:, np.lexsort((np.maximum(d[x], d[y]), np.minimum(d[x], d[y])))]
+                both = both[:, np.append(True, (both[:, 1:] != both[:, :-1]).any(0))]
+                for at in range(0, both.shape[1], 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(b[at : at + 100_000]) for b in both], ["d", "d_"])
 
         for batch in batches:
             held.append(batch)
@@ -324,9 +337,11 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    rows = every.select("d", "n", "v0", "v1", "v2", F.posexplode("s").alias("i", "key"))
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "d")
-    pairs = written(dealt.mapInArrow(linked, "d long, d_ long").distinct(), "pairs")
+    def candidates(prefixes: DataFrame) -> DataFrame:
+        rows = prefixes.select(*(c for c in prefixes.columns if c != "s"), F.posexplode("s").alias("i", "key"))
+        return rows.repartition(n, "key").sortWithinPartitions("key", "d").mapInArrow(linked, "d long, d_ long").distinct()
+
+    pairs = written(candidates(every), "pairs")
     release(spark)
     # whole sets are made, and kept, for the texts of candidate pairs alone
     ends = pairs.select(F.explode(F.array("d", "d_")).alias("d")).distinct()
@@ -342,7 +357,16 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         both = pairs.join(sets, "d").withColumnRenamed("s", "x").join(sets.select(F.col("d").alias("d_"), F.col("s").alias("y")), "d_")
         return map_batches(both.select("d", "d_", "x", "y"), verified, "u long, v long")
 
-    found = components(links(pairs))
+    near = written(links(pairs), "links")
+    found = components(near)
+    group = written(ends.join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c")), "groups")
+    release(spark)
+    apart = pairs.join(group, "d").join(group.select(F.col("d").alias("d_"), F.col("c").alias("c_")), "d_").filter("c <> c_")
+    if not apart.isEmpty():
+        # where all pairs of a key's forest are linked, so are all its texts: the others' texts are among ``ends``
+        rest = written(candidates(every.join(group, "d")).join(pairs, ["d", "d_"], "left_anti"), "rest")
+        release(spark)
+        found = components(near.unionByName(links(rest)))
     return every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component"))
 
 

@@ -109,6 +109,19 @@ def test_pairs_close_to_the_threshold_are_linked(spark):
     assert kept_of(spark, texts) == sorted(group.index(g) for g in set(group))
 
 
+def test_links_behind_a_failed_pair_are_found(spark, monkeypatch):
+    """Of windows over one text a-b and b-c are linked (19 of 21 and 18 of 22 shingles); a-c (17 of 23) can be a closer candidate than b-c."""
+    # as in a corpus far larger than the sample that orders shingles
+    monkeypatch.setattr(simhash, "common_shingles", lambda *_: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(1000):
+        w = made_words(rng, 27)
+        texts += [" ".join(w[at : at + 24]) for at in (0, 1, 3)]
+    assert len(set(brute_groups(texts[:3]))) == 1
+    assert kept_of(spark, texts) == list(range(0, 3000, 3))
+
+
 def test_repeats_equal_brute_force(spark, awkward):
     texts = {}
     for r in awkward.collect():
