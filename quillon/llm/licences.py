@@ -1,15 +1,14 @@
 """Licence scans with a positional rare-token index, in DataFrame functions alone.
 
 Words of the licence templates that are not common English form the index: each posting is a template, and the word's
-position in it.  A file's words that the index knows are ranked by how few files hold them; the rarest look up their
-postings, and postings of one template that agree on where it would begin in the file are intersected.  A template
-counts if enough of its indexed words stand at their places and its mandatory phrases stand in the file.  Base phrases
+position in it.  Each of a file's words that the index knows looks up its postings, and postings of one template that
+agree on where it would begin in the file are intersected, so no template is left out.  A template counts if enough of its indexed words stand at their places and its mandatory phrases stand in the file.  Base phrases
 are looked up the same way and need every one of their words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -57,12 +56,11 @@ def words_of(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _NOT_WORDS, " "))
 
 
-def scan(docs: DataFrame, rare: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
     Null, empty and wordless texts have no words, no labels and score 0.  score: the largest share of a template's indexed
-    words found at their places, or 0.5 where only a base phrase stands.  ``rare``: how many of a file's rarest index
-    words look templates up; base and mandatory phrases are looked up by all.
+    words found at their places, or 0.5 where only a base phrase stands.
     """
     spark = docs.sparkSession
     posting = spark.createDataFrame(_postings(), "word string, number int, label string, k int, size int, kind string, need int")
@@ -81,15 +79,10 @@ def scan(docs: DataFrame, rare: int = 16, id_col: str = "doc_id", text_col: str
     )
     rows = written(rows, "words")
     places = rows.filter(F.size("hits") > 0).select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.at")
-    # at most one figure for each index word
-    files = places.select("row", "word").distinct().groupBy("word").agg(F.count("*").alias("files"))
     found = places.join(F.broadcast(posting), "word").withColumn("begin", F.col("at") - F.col("k"))
     phrases = found.filter("kind <> 'template'").groupBy("row", "number", "label", "kind", "size", "begin").agg(F.count("*").alias("n")).filter("n = size")
-    rank = F.dense_rank().over(Window.partitionBy("row").orderBy("files", "word"))
-    rarest = places.join(F.broadcast(files), "word").withColumn("rank", rank).filter(F.col("rank") <= rare).select("row", "word", "at")
-    begins = rarest.join(F.broadcast(posting.filter("kind = 'template'")), "word").select("row", "number", (F.col("at") - F.col("k")).alias("begin")).distinct()
     whole = found.filter("kind = 'template'").groupBy("row", "number", "label", "size", "need", "begin").agg(F.count("*").alias("n")).filter("n >= need")
-    whole = whole.join(begins, ["row", "number", "begin"]).groupBy("row", "number", "label").agg(F.max(F.col("n") / F.col("size")).alias("share"))
+    whole = whole.groupBy("row", "number", "label").agg(F.max(F.col("n") / F.col("size")).alias("share"))
     must = spark.createDataFrame(list(enumerate((t for t, x in enumerate(TEMPLATES, 1000) for _ in x[2]), len(BASE))), "phrase int, number int")
     asked = must.groupBy("number").agg(F.count("*").alias("musts"))
     stands = phrases.filter("kind = 'phrase'").select("row", F.col("number").alias("phrase")).distinct()

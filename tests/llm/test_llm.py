@@ -190,6 +190,14 @@ def test_licences(spark, awkward):
     assert r.labels == "mit" and r.base_labels == "" and r.score == 1.0
 
 
+def test_licences_of_files_with_several_notices(spark):
+    notices = {label: text for label, text, _ in licences.TEMPLATES[::-1]}
+    rows = [(k, notices["mit"]) for k in range(50)] + [(50, ". ".join([notices["mit"], licences.TEMPLATES[4][1], notices["bsd"]])), (51, ". ".join(t for _, t, _ in licences.TEMPLATES))]
+    got = {r.doc_id: r.labels.split(",") for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {"mit", "gpl", "bsd"} <= set(got[50])
+    assert set(got[51]) >= set(notices)
+
+
 def test_packing(spark, awkward):
     public = pytest.importorskip("public_tokenizers")
     rows = packing.pack(awkward, public.path("word_bpe_49k.json"), 2048).collect()
