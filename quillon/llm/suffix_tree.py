@@ -2,8 +2,8 @@
 
 Symbols are the bytes of lower-cased words, a sign after each word and one at the end of the text; a text begins after DEPTH start
 signs.  Contexts of every length up to DEPTH symbols are counted over all training texts.  As in Ron, Singer and Tishby's
-algorithm an entry takes part only from a least share of all symbols up, which bounds the tree at (DEPTH + 1) / share
-entries whatever the corpus, and a context is retained only if its next-symbol distribution diverges from its parent's.
+algorithm an entry takes part only from a least count up, and a context is retained only if its next-symbol distribution
+diverges from its parent's; the count is fixed, so the tree grows with the corpus.  It stays a table in the shared folder.
 Distributions are smoothed by their parent's, down to a root that gives each of 256 symbols some mass, so the
 probabilities of all texts sum to one.  Each symbol is scored by the longest retained suffix of what stands before it.
 """
@@ -14,6 +14,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,45 +136,79 @@ def vocabulary(docs: DataFrame, training: Column, text_col: str) -> DataFrame:
     return map_batches(src, run, "word binary, c long", 10_000, 64 << 20).groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def fit_tree(training: DataFrame, least_share: float = 5e-7, text_col: str = "text") -> SuffixTree:
-    """The tree of all rows of ``training``.  ``least_share``: of all symbols, for an entry to take part; bounds the model."""
+#: Occurrences from which an entry takes part, whatever the corpus.
+LEAST = 4
+
+
+def contexts(docs: DataFrame, training: Column, text_col: str = "text") -> DataFrame:
+    """(key, n): each symbol of any row with DEPTH symbols before it, and its count in training rows."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, counts = [], []
-        for _, parts in runs(symbols(tokens(t)) for t in texts(batch)):
-            k, n = np.unique(keys_of(parts)[0], return_counts=True)
-            keys.append(k)
-            counts.append(n)
+        trains = column(batch, "trains").to_pylist()
+        for counted in (True, False):
+            for _, parts in runs(symbols(tokens(t)) for t, x in zip(texts(batch), trains) if x is counted):
+                k, n = np.unique(keys_of(parts)[0], return_counts=True)
+                keys.append(k)
+                counts.append(n if counted else np.zeros_like(n))
         keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64))], ["key", "n"])
 
-    counted = map_batches(training.select(F.col(text_col).cast("string").alias("text")), run, "key long, n long", 10_000, 64 << 20).groupBy("key").agg(F.sum("n").alias("n"))
-    counted = written(counted, "contexts")
-    least = (counted.agg(F.sum("n")).first()[0] or 0) * least_share
+    src = docs.select(F.col(text_col).cast("string").alias("text"), training.alias("trains"))
+    return map_batches(src, run, "key long, n long", 10_000, 16 << 20).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _levels(counted: DataFrame) -> list[DataFrame]:
+    """Keys of each depth; shorter contexts' counts are sums over what stands before them."""
+    out = [counted]
+    for d in range(DEPTH - 1, -1, -1):
+        out.append(written(out[-1].groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n")), "level"))
+    return out[::-1]
+
+
+def fit_tree(training: DataFrame, least: int = LEAST, text_col: str = "text") -> SuffixTree:
+    """The tree of all rows of ``training`` in memory, for small corpora; ``key_scores`` gives the same figures from tables."""
     rows = []
-    for d in range(DEPTH + 1):
-        # shorter contexts' counts are sums over what stands before them
-        keys = counted.groupBy(F.col("key").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        node = F.shiftright("key", 8)
-        totals = keys.groupBy(node.alias("node")).agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
-        found = keys.filter(F.col("n") >= least).join(totals, node == F.col("node")).select("key", "n", "total")
-        rows.append(found.toPandas().assign(depth=d))  # 1 / least_share rows at most
+    for d, keys in enumerate(_levels(written(contexts(training, F.lit(True), text_col), "contexts"))):
+        totals = keys.groupBy(F.shiftright("key", 8).alias("node")).agg(F.sum("n").alias("total"))
+        rows.append(keys.filter(F.col("n") >= least).join(totals, F.shiftright("key", 8) == F.col("node")).select("key", "n", "total").toPandas().assign(depth=d))
     depth, keys, n, total = (np.concatenate([r[c].to_numpy(np.int64) for r in rows]) for c in ("depth", "key", "n", "total"))
     return SuffixTree(depth, keys, n, total)
 
 
+def key_scores(counted: DataFrame, least: int = LEAST, min_gain: float = 20.0, trust: float = 4.0) -> DataFrame:
+    """(key, p): the probability of each key's symbol after its context, depth by depth as in ``SuffixTree``."""
+    scores = None
+    for d, keys in enumerate(_levels(counted)):
+        if scores is None:
+            rows = keys.withColumn("parent", F.lit(1 / 256))
+        else:
+            shorter = scores.select(F.col("key").alias("suffix"), F.col("p").alias("parent"))
+            rows = keys.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(shorter, "suffix").drop("suffix")
+        rows = rows.withColumn("node", F.shiftright("key", 8))
+        part = F.col("n") >= least
+        nodes = rows.groupBy("node").agg(
+            F.sum("n").alias("total"), F.sum(F.when(part, F.col("n"))).alias("kept"), F.sum(F.when(part, F.col("n") * F.log(F.col("n") / F.col("parent")))).alias("gain"),
+        ).filter("kept > 0")
+        if d:
+            nodes = nodes.filter(F.col("gain") - F.col("kept") * F.log("total") >= min_gain)
+        nodes = nodes.select("node", "total", (F.col("total") - F.col("kept") + trust).alias("rest"))
+        p = (F.when(part, F.col("n")).otherwise(0) + F.col("rest") * F.col("parent")) / (F.col("total") + trust)
+        scores = written(rows.join(nodes, "node", "left").select("key", F.coalesce(p, "parent").alias("p")), "scores")
+    return scores
+
+
 def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Null texts are empty: their only token is the end.  If no row trains, N and V are 0.  Documents are dealt to chunks of
-    about ``chunk_bytes``; each chunk fetches the counts of its own distinct words, so the vocabulary fits nowhere whole, and
-    a frequent word is asked for once a chunk.
+    about ``chunk_bytes``; each chunk fetches the counts of its own distinct words and the scores of its own distinct keys,
+    so neither vocabulary nor tree need fit anywhere whole, and a frequent word is asked for once a chunk.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("trains"))
     words = written(vocabulary(docs, F.col("trains"), "text"), "vocabulary")
     total, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    tree = spark.sparkContext.broadcast(fit_tree(docs.filter("trains")))
+    scores = key_scores(written(contexts(docs, F.col("trains")), "contexts"))
     base_of = float(np.log10(total + distinct + 1))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
@@ -191,9 +226,36 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(those), pa.int32()), pa.array(list(those), pa.binary())], ["chunk", "word"])
 
     wanted = dealt.select("id", "text", "trains", "chunk").mapInArrow(asked, "chunk int, word binary")
-    answers = wanted.join(words, "word").select("chunk", "word", "c")
+
+    def asked_keys(batches):
+        held: dict[int, list[np.ndarray]] = {}
+
+        def distinct(k: int) -> pa.RecordBatch:
+            keys = np.unique(np.concatenate(held.pop(k)))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys)], ["chunk", "key"])
+
+        for batch in batches:
+            by: dict[int, list[bytes]] = {}
+            for k, t in zip(column(batch, "chunk").to_pylist(), texts(batch)):
+                by.setdefault(k, []).append(symbols(tokens(t)))
+            for k, those in by.items():
+                for _, parts in runs(those):
+                    held.setdefault(k, []).append(np.unique(keys_of(parts)[0]))
+            while sum(len(x) for those in held.values() for x in those) > 4_000_000:
+                yield distinct(max(held, key=lambda k: sum(map(len, held[k]))))
+        for k in list(held):
+            yield distinct(k)
+
+    needed = dealt.select("id", "text", "trains", "chunk").mapInArrow(asked_keys, "chunk int, key long")
+    word_rows = wanted.join(words, "word").select("chunk", "word", "c", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("p"))
+    key_rows = needed.join(scores, "key").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "key", "p")
+    answers = word_rows.unionByName(key_rows)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        known_keys = right.filter(pc.is_valid(right.column("key")))
+        right = right.filter(pc.is_valid(right.column("word")))
+        keys, at = np.unique(known_keys.column("key").to_numpy(), return_index=True)
+        log_p = np.log10(known_keys.column("p").to_numpy()[at])
         number = {w: k for k, w in enumerate(right.column("word").to_pylist())}
         c = right.column("c").to_numpy()
         base, known = np.log10(c + 1) - base_of, c > 0
@@ -201,7 +263,11 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
         rows = list(zip(left.column("id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist(), left.column("trains").to_pylist()))
         for at in range(0, len(rows), 256):
             part = [(i, tokens(t), trains) for i, t, trains in rows[at : at + 256]]
-            for (i, words, trains), score in zip(part, tree.value.log10([p[1] for p in part]).tolist()):
+            totals = np.zeros(len(part))
+            for first, those in runs(symbols(p[1]) for p in part):
+                key, owner = keys_of(those)
+                totals[first : first + len(those)] = np.bincount(owner, log_p[np.searchsorted(keys, key)], len(those))
+            for (i, words, trains), score in zip(part, totals.tolist()):
                 k = np.array([number[w] for w in words] + [number[b""]])
                 out.append((i, not trains, len(k), int(known[k].sum()), total, float(base[k].sum()), score))
         kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]

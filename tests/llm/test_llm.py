@@ -260,6 +260,19 @@ def test_suffix_tree(spark, awkward):
     assert suffix_tree.lm_scores(empty(spark), F.lit(True)).count() == 0
 
 
+def test_suffix_tree_grows_with_the_corpus(spark):
+    """What some rows teach is not forgotten because the rest of the corpus is larger."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, "quartz jumps") for k in range(8)] + [(8 + k, "la le li lo lu " * 60_000) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs, F.lit(True)).collect()}
+    tree = suffix_tree.fit_tree(docs)
+    assert got[0] == pytest.approx(tree.log10([[b"quartz", b"jumps"]])[0])
+    assert got[8] == pytest.approx(tree.log10([suffix_tree.tokens(rows[8][1].encode())])[0])
+    assert got[0] > -9
+
+
 def test_media(spark, awkward):
     for t in (b"", b"a" * 64, bytes(range(256)) * 7 + b"x"):
         data = media.payload(t)
