@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -22,26 +25,47 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share.
+
+    Only a local master, whose tasks run in the driver's own process, gets a temporary folder where the session names none.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    Losing an executor afterwards costs no recomputation.  The table is removed when the application ends.
+    Losing an executor afterwards costs no recomputation.  ``discard`` removes the table once its readers are done; what is
+    left goes when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    files, target = _filesystem(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` returned; nothing may read them, or a plan over them, afterwards."""
+    for t in tables:
+        files, target = _filesystem(t.sparkSession, t.table_path)
+        files.delete(target, True)
+    if tables:
+        release(tables[0].sparkSession)
 
 
 def release(spark: SparkSession) -> None:
@@ -50,24 +74,61 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores in front as keep it apart from those ``taken``, whatever their case."""
+    low, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while name.lower() in low:
+            name = "_" + name
+        low.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; a null id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def trimmed() -> None:
+    """Give a Python worker's free memory back: Spark keeps it for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int = 1000, gather_bytes: int = 0) -> DataFrame:
     """mapInArrow with a function from one record batch, of ``rows`` at most, to one record batch.
 
-    Sets the session's bytes for each Arrow batch to ``batch_bytes``: JVM and Python hold a few batches a task at once.  A
-    function that sums over its batch shuffles less with larger ones.
+    With ``gather_bytes`` the function gets several batches as one, up to that size: what it sums over its rows then
+    shuffles less.  Arrow batches between JVM and Python are of BATCH_BYTES at most, as both hold a few of them a task at once.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", batch_bytes)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not gather_bytes:
+            for batch in batches:
+                for at in range(0, batch.num_rows, rows):
+                    yield batch.slice(at, rows)
+            return
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= gather_bytes:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                if (out := function(batch.slice(at, rows))) is not None and out.num_rows:
+        try:
+            for part in parts(batches):
+                if part.num_rows and (out := function(part)) is not None and out.num_rows:
                     yield out
+        finally:
+            trimmed()
 
     return df.mapInArrow(run, schema)
 
@@ -107,17 +168,17 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of long pairs (u, v): rows (node, component), the smallest node reachable; linked nodes only.
 
     Batches of edges are first thinned to spanning forests; then the alternating large-star and small-star rounds
-    of Kiveris et al. run on shuffles alone, each round written to the shared folder.  The only figures that reach
-    the driver are two sums for each round.
+    of Kiveris et al. run on shuffles alone, each round written to the shared folder, until no edge changes.  The only
+    figures that reach the driver are two sums for each round.  No edges give no rows.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
     edges = written(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -125,11 +186,11 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        edges = written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
+        read, edges = edges, written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
+        discard(read)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         before = now
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -107,7 +107,7 @@ def fit_profiles(labelled: DataFrame, size: int = PROFILE, rows_for_each: int =
             out.append((pa.array([lang] * len(codes)), pa.array(codes), pa.array(sums)))
         return pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in zip(*out)], ["lang", "code", "n"])
 
-    sums = map_batches(src, run, "lang string, code long, n long", 5000, 32 << 20).groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    sums = map_batches(src, run, "lang string, code long, n long", gather_bytes=16 << 20).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     by: dict[str, list[int]] = {}
     for r in sums.withColumn("rank", rank).filter(F.col("rank") <= size).orderBy("lang", "rank").collect():

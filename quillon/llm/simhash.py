@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, map_batches, release, texts, written
+from .common import column, components, discard, free_names, map_batches, release, texts, written
 
 #: Generator polynomial of the (23, 12, 7) code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -379,10 +379,11 @@ def same_words(text: bytes) -> int:
 def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row, that of the smallest id (null last), of each group of similar texts; see similar_texts.
 
-    Texts without words are one group.  Rows alike in id and words count as one.  All columns stay as they are.
+    Null, empty and blank texts have no words and are one group.  Rows alike in id and words count as one.  All columns, whatever
+    their names, stay as they are; an empty table stays one.
     """
     names = docs.columns
-    mark = next(x for x in ("_words", *(f"_words{k}" for k in range(len(names) + 1))) if x not in names)
+    mark, best_id, best_words = free_names(names, "words", "best_id", "best_words")
     schema = docs.select(F.lit(0).cast("long").alias(mark), "*").schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -396,6 +397,6 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
 
     ids = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), narrow, "id long, d long")
     first = ids.groupBy("d").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("i"))
-    best = first.join(groups, "d").groupBy("component").agg(F.min(F.struct("i", "d")).alias("b")).select(F.col("b.i.id").alias("_id"), F.col("b.d").alias("_d"))
-    kept = marked.join(best.hint("shuffle_hash"), (F.col(mark) == F.col("_d")) & F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    best = first.join(groups, "d").groupBy("component").agg(F.min(F.struct("i", "d")).alias("b")).select(F.col("b.i.id").alias(best_id), F.col("b.d").alias(best_words))
+    kept = marked.join(best.hint("shuffle_hash"), (F.col(mark) == F.col(best_words)) & F.col(id_col).cast("long").eqNullSafe(F.col(best_id)), "left_semi")
     return kept.dropDuplicates([mark, id_col]).select(*names)

@@ -133,7 +133,7 @@ def vocabulary(docs: DataFrame, training: Column, text_col: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
 
     src = docs.select(F.col(text_col).cast("string").alias("text"), training.alias("trains"))
-    return map_batches(src, run, "word binary, c long", 10_000, 64 << 20).groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(src, run, "word binary, c long", gather_bytes=32 << 20).groupBy("word").agg(F.sum("c").alias("c"))
 
 
 #: Occurrences from which an entry takes part, whatever the corpus.
@@ -155,7 +155,7 @@ def contexts(docs: DataFrame, training: Column, text_col: str = "text") -> DataF
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64))], ["key", "n"])
 
     src = docs.select(F.col(text_col).cast("string").alias("text"), training.alias("trains"))
-    return map_batches(src, run, "key long, n long", 10_000, 16 << 20).groupBy("key").agg(F.sum("n").alias("n"))
+    return map_batches(src, run, "key long, n long", gather_bytes=16 << 20).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _levels(counted: DataFrame) -> list[DataFrame]:

@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, fit_rows: int = 20_000, max_words: int = 4_000, min
     try:
         n = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
         n0, n1 = max(1, n.get(0, 0)), max(1, n.get(1, 0))
-        seen = map_batches(once, words_of, "w binary, y int, n long", 5000).groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
+        seen = map_batches(once, words_of, "w binary, y int, n long", gather_bytes=16 << 20).groupBy("w").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("b"))
         p = (F.col("a") + F.col("b")) / (n0 + n1)
 
         def term(count: str, total: int) -> F.Column:

@@ -140,17 +140,36 @@ def test_repeats_equal_brute_force(spark, awkward):
     assert suffixes.cut(awkward).columns == awkward.columns
 
 
-def test_groups_over_a_piece_are_compared_across(spark, monkeypatch):
+def check_repeats(spark, texts):
+    """without_repeats of the texts, against every window of every text."""
+    raw = [t.encode() for t in texts]
+    seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    got = {r.doc_id: r for r in suffixes.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for i, t in enumerate(raw):
+        gone = {k + j for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for j in range(200)}
+        kept = bytes(b for k, b in enumerate(t) if k not in gone)
+        assert (got[i].n_removed, got[i].kept_sha256) == (len(gone), hashlib.sha256(kept).hexdigest()), i
+
+
+def letters(rng, n):
+    return bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+
+
+def test_a_passage_that_many_texts_share(spark, monkeypatch):
     rng = np.random.default_rng(5)
-    shared = bytes(rng.integers(97, 123, 400, dtype=np.uint8)).decode()
-    rows = [(i, bytes(rng.integers(97, 123, 300, dtype=np.uint8)).decode() + shared + str(i)) for i in range(40)]
-    monkeypatch.setattr(suffixes, "PIECE_BYTES", 1000)
-    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    seen = Counter(t[i : i + 200] for _, t in rows for i in range(len(t) - 199))
-    for r in got:
-        t = dict(rows)[r.doc_id]
-        gone = {i + j for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1 for j in range(200)}
-        assert r.n_spans == 1 and r.n_removed == len(gone) >= 400
+    shared = letters(rng, 400)
+    texts = [letters(rng, int(rng.integers(0, 300))) + shared[int(rng.integers(0, 150)) :] + letters(rng, int(rng.integers(0, 60))) for _ in range(1500)]
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20_000)  # the shared strings are dealt to many buckets
+    check_repeats(spark, texts)
+
+
+def test_passages_that_overlap_and_differ_by_a_byte(spark):
+    rng = np.random.default_rng(6)
+    base = letters(rng, 900)
+    texts = [base[a : a + n] for a, n in ((0, 250), (30, 400), (31, 199), (200, 200), (201, 200), (500, 330), (650, 250))]
+    texts += [base[:k] + "#" + base[k + 1 :] for k in (100, 333, 334, 700)]
+    texts += ["word " * 100, "word " * 99 + "wor", "ab" * 150, "a" * 450, "é" * 300, "\0" * 230, "\0" * 231 + "x", base[::-1][:260] * 3]
+    check_repeats(spark, texts)
 
 
 def test_anchor_runs_cover_every_window():
