@@ -367,7 +367,11 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         rest = written(candidates(every.join(group, "d")).join(pairs, ["d", "d_"], "left_anti"), "rest")
         release(spark)
         found = components(near.unionByName(links(rest)))
-    return every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component"))
+        discard(rest)
+    out = written(every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component")), "similar")
+    discard(every, pairs, sets, near, group)
+    common.unpersist()
+    return out
 
 
 def same_words(text: bytes) -> int:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, map_batches, texts
+from .common import column, discard, map_batches, texts, written
 
 #: Sentence ends become line ends; other separators blanks; A-Z a-z; bytes from 0x80 up belong to words.
 SENTENCES = bytes(
@@ -119,7 +119,7 @@ def fit(labelled: DataFrame, fit_rows: int = 20_000, max_words: int = 4_000, min
 
     # hot copies would make any of their words look telling: each text counts once
     once = src.withColumn("h", F.xxhash64("text")).groupBy("h", F.octet_length("text").alias("nb")).agg(F.max("y").alias("y"), F.first("text").alias("text")).select("text", "y")
-    once = once.persist()
+    once = written(once, "labelled")
     try:
         n = {r["y"]: r["count"] for r in once.groupBy("y").count().collect()}
         n0, n1 = max(1, n.get(0, 0)), max(1, n.get(1, 0))
@@ -144,8 +144,9 @@ def fit(labelled: DataFrame, fit_rows: int = 20_000, max_words: int = 4_000, min
 
         rows = map_batches(once, bag, "y int, bag array<array<int>>").orderBy(F.xxhash64("bag"), "y")
         bags = [(r["y"], r["bag"]) for r in rows.toLocalIterator()]
+        held.unpersist()
     finally:
-        once.unpersist()
+        discard(once)
     weights, bias, leak = learn(bags, len(number))
     return Scorer({w: float(weights[k]) for w, k in number.items() if abs(weights[k]) > 1e-3}, bias, leak)
 
