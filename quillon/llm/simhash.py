@@ -284,6 +284,24 @@ def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints:
     return np.array(out, np.int64).reshape(-1, 2).T
 
 
+#: Bits of a bitmap of keys, whatever their number: 8 MB.
+BITMAP = 1 << 26
+
+
+def bitmap(keys: DataFrame, name: str) -> np.ndarray:
+    """BITMAP bits in words of 64, set where a key of the column falls by its lowest bits.  Rows for the driver: BITMAP / 64 at most."""
+    place = F.col(name).bitwiseAND(F.lit(BITMAP - 1))
+    words = keys.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, int({name} & 63))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(BITMAP // 64, np.int64)
+    out[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
+def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False for keys that were not among the bitmap's; true for all that were, and for others by chance."""
+    return (bits[(keys & (BITMAP - 1)) >> 6] >> (keys & 63) & 1).astype(bool)
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text") -> DataFrame:
     """(d, component): texts (by XXH64 of their lower-cased words) that chains of similar texts connect.
 
@@ -310,7 +328,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
 
     def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = texts(batch)
-        return pa.RecordBatch.from_arrays([pa.array([same_words(x) for x in t], pa.int64()), listed([shingle_set(x, shingle) for x in t])], ["d", "s"])
+        d = np.array([same_words(x) for x in t], np.int64)
+        some = np.flatnonzero(in_bitmap(asked.value, d))
+        return pa.RecordBatch.from_arrays([pa.array(d[some]), listed([shingle_set(t[k], shingle) for k in some.tolist()])], ["d", "s"])
 
     # copies of a text leave here; the rest is one row for each different text
     every = written(map_batches(src, prefixes, "d long, n long, v0 long, v1 long, v2 long, s array<long>").dropDuplicates(["d"]), "prefixes")
@@ -343,8 +363,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
 
     pairs = written(candidates(every), "pairs")
     release(spark)
-    # whole sets are made, and kept, for the texts of candidate pairs alone
+    # whole sets are made for texts that the bitmap lets through, and kept for the texts of candidate pairs alone
     ends = pairs.select(F.explode(F.array("d", "d_")).alias("d")).distinct()
+    asked = spark.sparkContext.broadcast(bitmap(ends, "d"))
     sets = written(map_batches(src, shingles, "d long, s array<long>", 200).dropDuplicates(["d"]).join(ends, "d", "left_semi"), "shingles")
     release(spark)
 
@@ -371,6 +392,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
     out = written(every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component")), "similar")
     discard(every, pairs, sets, near, group)
     common.unpersist()
+    asked.unpersist()
     return out
 
 
