@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, components, discard, free_names, map_batches, release, texts, written
+from .common import column, components, discard, free_names, map_batches, release, texts, trimmed, written
 
 #: Generator polynomial of the (23, 12, 7) code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR = 0b101011100011
@@ -302,6 +302,56 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(keys & (BITMAP - 1)) >> 6] >> (keys & 63) & 1).astype(bool)
 
 
+#: Texts whose sets meet in one block, about.
+BLOCK_TEXTS = 128
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the pairs (d, d_) whose shingle sets (d, s) have a Jaccard similarity of ``similarity`` or more.
+
+    Pairs meet in blocks: a component of all pairs, or, if that has many texts, a part of it for the pairs between two parts of
+    its texts.  So a set travels once for each block that asks for it, not once for each pair, and no block grows with its group.
+    """
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = written(components(pairs.select(F.col("d").alias("u"), F.col("d_").alias("v"))), "candidates")
+    parts = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"))
+    dealt = pairs.join(found.join(parts, "component"), F.col("d") == F.col("node"))
+    part = lambda d: F.pmod(F.xxhash64(d, F.lit(1)), F.col("parts"))
+    dealt = written(dealt.select(F.xxhash64("component", part("d"), part("d_")).alias("block"), "d", "d_"), "dealt")
+    asked = dealt.select("block", F.explode(F.array("d", "d_")).alias("d")).distinct()
+    held = pairs.sparkSession.sparkContext.broadcast(bitmap(dealt.select(F.explode(F.array("d", "d_")).alias("d")), "d"))
+
+    def wanted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(in_bitmap(held.value, column(batch, "d").to_numpy(zero_copy_only=False)), pa.bool_()))
+
+    rows = map_batches(sets, wanted, sets.schema).join(asked, "d").select("block", "d", F.lit(None).cast("long").alias("d_"), "s")
+    rows = rows.unionByName(dealt.select("block", "d", "d_", F.lit(None).cast("array<long>").alias("s")))
+
+    def compare(batches):
+        block, known = None, {}
+        for batch in batches:
+            links = []
+            keys, ds, others, s = (column(batch, c) for c in ("block", "d", "d_", "s"))
+            values, offsets = s.values.to_numpy(zero_copy_only=False), s.offsets.to_numpy()
+            for k, (key, d, other) in enumerate(zip(keys.to_pylist(), ds.to_pylist(), others.to_pylist())):
+                if key != block:
+                    block, known = key, {}
+                if other is None:
+                    known[d] = values[offsets[k] : offsets[k + 1]]
+                elif jaccard(known[d], known[other]) >= similarity:
+                    links.append((d, other))
+            known = {d: x.copy() if x.base is not None else x for d, x in known.items()}  # not the whole batch
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
+        trimmed()
+
+    # a block's sets come before its pairs
+    out = written(rows.repartition(n, "block").sortWithinPartitions("block", F.col("d_").asc_nulls_first()).mapInArrow(compare, "u long, v long"), "verified")
+    discard(found, dealt)
+    held.unpersist()
+    return out
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text") -> DataFrame:
     """(d, component): texts (by XXH64 of their lower-cased words) that chains of similar texts connect.
 
@@ -369,16 +419,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
     sets = written(map_batches(src, shingles, "d long, s array<long>", 200).dropDuplicates(["d"]).join(ends, "d", "left_semi"), "shingles")
     release(spark)
 
-    def verified(batch: pa.RecordBatch) -> pa.RecordBatch:
-        x, y = column(batch, "x"), column(batch, "y")
-        ok = [jaccard(x[k].values.to_numpy(), y[k].values.to_numpy()) >= similarity for k in range(batch.num_rows)]
-        return pa.RecordBatch.from_arrays([column(batch, "d"), column(batch, "d_")], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets, "d").withColumnRenamed("s", "x").join(sets.select(F.col("d").alias("d_"), F.col("s").alias("y")), "d_")
-        return map_batches(both.select("d", "d_", "x", "y"), verified, "u long, v long")
-
-    near = written(links(pairs), "links")
+    near = written(verified_links(pairs, sets, similarity), "links")
     found = components(near)
     group = written(ends.join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c")), "groups")
     release(spark)
@@ -387,7 +428,7 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         # where all pairs of a key's forest are linked, so are all its texts: the others' texts are among ``ends``
         rest = written(candidates(every.join(group, "d")).join(pairs, ["d", "d_"], "left_anti"), "rest")
         release(spark)
-        found = components(near.unionByName(links(rest)))
+        found = components(near.unionByName(verified_links(rest, sets, similarity)))
         discard(rest)
     out = written(every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component")), "similar")
     discard(every, pairs, sets, near, group)
