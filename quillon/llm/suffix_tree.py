@@ -5,7 +5,8 @@ signs.  Contexts of every length up to DEPTH symbols are counted over all traini
 algorithm an entry takes part only from a least count up, and a context is retained only if its next-symbol distribution
 diverges from its parent's; the count is fixed, so the tree grows with the corpus.  It stays a table in the shared folder.
 Distributions are smoothed by their parent's, down to a root that gives each of 256 symbols some mass, so the
-probabilities of all texts sum to one.  Each symbol is scored by the longest retained suffix of what stands before it.
+probabilities of all texts sum to one.  Each symbol is scored by the longest retained suffix of what stands before it.  A
+token's probability is the mean of what the tree's symbols give it and of what the base, its own count, does.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, fold, map_batches, texts, written
+from .common import column, discard, fold, map_batches, texts, trimmed, written
 
 DEPTH = 5
 #: Signs that no UTF-8 text holds: before a text, after a word, end of text.
 START, STOP, END = 0xFF, 0xFE, 0xFD
 #: Bytes of text whose symbols are counted or scored together.
-RUN_BYTES = 3 << 20
+RUN_BYTES = 1 << 20
+#: The tree's share of a token's probability; the base has the rest.
+MIX = 0.5
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -106,14 +108,10 @@ class SuffixTree:
         out[left] /= 256
         return out
 
-    def log10(self, texts: list[list[bytes]]) -> np.ndarray:
-        """log10 probability of each text, given as its words."""
-        out = np.zeros(len(texts))
-        for first, parts in runs(symbols(t) for t in texts):
-            keys, owner = keys_of(parts)
-            distinct, at = np.unique(keys, return_inverse=True)
-            out[first : first + len(parts)] = np.bincount(owner, np.log10(self.probability(distinct))[at], len(parts))
-        return out
+    def log10(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each token of a text, its end included."""
+        keys = keys_of([symbols(words)])[0]
+        return token_sums(keys, np.log10(self.probability(keys)))
 
 
 def vocabulary(docs: DataFrame, training: Column, text_col: str) -> DataFrame:
@@ -183,8 +181,8 @@ def key_scores(counted: DataFrame, least: int = LEAST, min_gain: float = 20.0, t
         if scores is None:
             rows = keys.withColumn("parent", F.lit(1 / 256))
         else:
-            shorter = scores.select(F.col("key").alias("suffix"), F.col("p").alias("parent"))
-            rows = keys.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(shorter, "suffix").drop("suffix")
+            parents = scores.select(F.col("key").alias("suffix"), F.col("p").alias("parent"))
+            rows = keys.withColumn("suffix", F.col("key").bitwiseAND(F.lit((1 << 8 * d) - 1))).join(parents, "suffix").drop("suffix")
         rows = rows.withColumn("node", F.shiftright("key", 8))
         part = F.col("n") >= least
         nodes = rows.groupBy("node").agg(
@@ -194,87 +192,138 @@ def key_scores(counted: DataFrame, least: int = LEAST, min_gain: float = 20.0, t
             nodes = nodes.filter(F.col("gain") - F.col("kept") * F.log("total") >= min_gain)
         nodes = nodes.select("node", "total", (F.col("total") - F.col("kept") + trust).alias("rest"))
         p = (F.when(part, F.col("n")).otherwise(0) + F.col("rest") * F.col("parent")) / (F.col("total") + trust)
-        scores = written(rows.join(nodes, "node", "left").select("key", F.coalesce(p, "parent").alias("p")), "scores")
+        shorter, scores = scores, written(rows.join(nodes, "node", "left").select("key", F.coalesce(p, "parent").alias("p")), "scores")
+        if d:
+            discard(shorter)
+        if d < DEPTH:
+            discard(keys)
     return scores
 
 
-def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 16 << 20) -> DataFrame:
+def mixed(tree: np.ndarray, base: np.ndarray, known: np.ndarray, share: float = MIX) -> np.ndarray:
+    """log10 probability of tokens: ``share`` of the tree's and the rest of the base's; a token that the base does not know is spelled
+    by the tree in either part, so that all tokens' probabilities sum to one."""
+    top = np.maximum(tree, base)
+    both = top + np.log10(share * 10.0 ** (tree - top) + (1 - share) * 10.0 ** (base - top))
+    return np.where(known, both, tree + np.log10(share + (1 - share) * 10.0**base))
+
+
+def token_sums(keys: np.ndarray, log_p: np.ndarray) -> np.ndarray:
+    """log10 probabilities of the tokens whose symbols have these keys and figures: a token ends with STOP or END."""
+    ends = np.flatnonzero(((keys & 0xFF) == STOP) | ((keys & 0xFF) == END))
+    return np.add.reduceat(log_p, np.append(0, ends[:-1] + 1)) if len(ends) else np.zeros(0)
+
+
+def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
-    Null texts are empty: their only token is the end.  If no row trains, N and V are 0.  Documents are dealt to chunks of
-    about ``chunk_bytes``; each chunk fetches the counts of its own distinct words and the scores of its own distinct keys,
-    so neither vocabulary nor tree need fit anywhere whole, and a frequent word is asked for once a chunk.
+    Null texts are empty: their only token is the end.  If no row trains, N and V are 0.  Repeated rows are scored each; an
+    empty table gives no rows.  Documents are dealt to chunks of about ``chunk_bytes``; each chunk fetches the counts of its own distinct
+    words and the scores of its own distinct keys, so neither vocabulary nor tree need fit anywhere whole, and a frequent
+    word is asked for once a chunk.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("trains"))
     words = written(vocabulary(docs, F.col("trains"), "text"), "vocabulary")
     total, distinct = words.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    scores = key_scores(written(contexts(docs, F.col("trains")), "contexts"))
+    counted = written(contexts(docs, F.col("trains")), "contexts")
+    scores = key_scores(counted)
+    discard(counted)
     base_of = float(np.log10(total + distinct + 1))
     size = docs.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     n = max(1, -(-size // chunk_bytes))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")).repartition(n, "chunk")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"))
+    dealt = written(dealt.repartitionById(n, "chunk").sortWithinPartitions("chunk"), "dealt")
 
     def asked(batches):
-        seen: dict[int, set[bytes]] = {}
+        block, seen, size = None, set(), 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(seen), pa.int32()), pa.array(list(seen), pa.binary())], ["chunk", "word"])
+
         for batch in batches:
             for k, t in zip(column(batch, "chunk").to_pylist(), texts(batch)):
-                seen.setdefault(k, {b""}).update(tokens(t))
-            for k, those in seen.items() if sum(map(len, seen.values())) > 1_500_000 else ():
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(those), pa.int32()), pa.array(list(those), pa.binary())], ["chunk", "word"])
-                seen[k] = set()
-        for k, those in seen.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(those), pa.int32()), pa.array(list(those), pa.binary())], ["chunk", "word"])
-
-    wanted = dealt.select("id", "text", "trains", "chunk").mapInArrow(asked, "chunk int, word binary")
+                if k != block or len(seen) > 400_000:
+                    if seen:
+                        yield out()
+                    block, seen = k, {b""}
+                seen.update(tokens(t))
+        if seen:
+            yield out()
+        trimmed()
 
     def asked_keys(batches):
-        held: dict[int, list[np.ndarray]] = {}
+        block, held = None, []
 
-        def distinct(k: int) -> pa.RecordBatch:
-            keys = np.unique(np.concatenate(held.pop(k)))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), k, np.int32)), pa.array(keys)], ["chunk", "key"])
+        def out():
+            keys = np.unique(np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int32)), pa.array(keys)], ["chunk", "key"])
 
         for batch in batches:
-            by: dict[int, list[bytes]] = {}
-            for k, t in zip(column(batch, "chunk").to_pylist(), texts(batch)):
-                by.setdefault(k, []).append(symbols(tokens(t)))
-            for k, those in by.items():
-                for _, parts in runs(those):
-                    held.setdefault(k, []).append(np.unique(keys_of(parts)[0]))
-            while sum(len(x) for those in held.values() for x in those) > 4_000_000:
-                yield distinct(max(held, key=lambda k: sum(map(len, held[k]))))
-        for k in list(held):
-            yield distinct(k)
-
-    needed = dealt.select("id", "text", "trains", "chunk").mapInArrow(asked_keys, "chunk int, key long")
-    word_rows = wanted.join(words, "word").select("chunk", "word", "c", F.lit(None).cast("long").alias("key"), F.lit(None).cast("double").alias("p"))
-    key_rows = needed.join(scores, "key").select("chunk", F.lit(None).cast("binary").alias("word"), F.lit(None).cast("long").alias("c"), "key", "p")
-    answers = word_rows.unionByName(key_rows)
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        known_keys = right.filter(pc.is_valid(right.column("key")))
-        right = right.filter(pc.is_valid(right.column("word")))
-        keys, at = np.unique(known_keys.column("key").to_numpy(), return_index=True)
-        log_p = np.log10(known_keys.column("p").to_numpy()[at])
-        number = {w: k for k, w in enumerate(right.column("word").to_pylist())}
-        c = right.column("c").to_numpy()
-        base, known = np.log10(c + 1) - base_of, c > 0
-        out = []
-        rows = list(zip(left.column("id").to_pylist(), left.column("text").cast(pa.binary()).to_pylist(), left.column("trains").to_pylist()))
-        for at in range(0, len(rows), 256):
-            part = [(i, tokens(t), trains) for i, t, trains in rows[at : at + 256]]
-            totals = np.zeros(len(part))
-            for first, those in runs(symbols(p[1]) for p in part):
-                key, owner = keys_of(those)
-                totals[first : first + len(those)] = np.bincount(owner, log_p[np.searchsorted(keys, key)], len(those))
-            for (i, words, trains), score in zip(part, totals.tolist()):
-                k = np.array([number[w] for w in words] + [number[b""]])
-                out.append((i, not trains, len(k), int(known[k].sum()), total, float(base[k].sum()), score))
-        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            chunk = column(batch, "chunk").to_numpy(zero_copy_only=False)
+            those = [symbols(tokens(t)) for t in texts(batch)]
+            edges = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(chunk)]):
+                if chunk[a] != block or sum(map(len, held)) > 3_000_000:
+                    if held:
+                        yield out()
+                    block, held = int(chunk[a]), []
+                held += [np.unique(keys_of(parts)[0]) for _, parts in runs(those[a:b])]
+        if held:
+            yield out()
+        trimmed()
+
+    wanted = dealt.select("chunk", "text").mapInArrow(asked, "chunk int, word binary")
+    needed = dealt.select("chunk", "text").mapInArrow(asked_keys, "chunk int, key long")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    rest = [none("long", "id"), none("string", "text"), none("boolean", "trains")]
+    word_rows = wanted.join(words, "word").select("chunk", F.lit(0).alias("kind"), "word", "c", none("long", "key"), none("double", "p"), *rest)
+    key_rows = needed.join(scores, "key").select("chunk", F.lit(1).alias("kind"), none("binary", "word"), none("long", "c"), "key", "p", *rest)
+    own = dealt.select("chunk", F.lit(2).alias("kind"), none("binary", "word"), none("long", "c"), none("long", "key"), none("double", "p"), "id", "text", "trains")
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+
+    def scored(batches):
+        number, c, keys, p, ready = {}, [], [], [], False
+        for batch in batches:
+            kind = column(batch, "kind").to_numpy(zero_copy_only=False)
+            edges = np.searchsorted(kind, [1, 2])
+            own, asked_for, documents = batch.slice(0, edges[0]), batch.slice(edges[0], edges[1] - edges[0]), batch.slice(edges[1])
+            for w in column(own, "word").to_pylist():
+                number.setdefault(w, len(number))
+            if own.num_rows:
+                c.append((np.array([number[w] for w in column(own, "word").to_pylist()]), column(own, "c").to_numpy(zero_copy_only=False)))
+            if asked_for.num_rows:
+                keys.append(column(asked_for, "key").to_numpy(zero_copy_only=False))
+                p.append(column(asked_for, "p").to_numpy(zero_copy_only=False))
+            if not documents.num_rows:
+                continue
+            if not ready:
+                count = np.zeros(len(number), np.int64)
+                for at, those in c:
+                    count[at] = those
+                base, known = np.log10(count + 1) - base_of, count > 0
+                all_keys, at = np.unique(np.concatenate(keys), return_index=True)
+                log_p, ready = np.log10(np.concatenate(p)[at]), True
+                c, keys, p = [], [], []
+            rows = list(zip(column(documents, "id").to_pylist(), texts(documents), column(documents, "trains").to_pylist()))
+            for at in range(0, len(rows), 256):
+                part = [(i, tokens(t), trains) for i, t, trains in rows[at : at + 256]]
+                out = []
+                for first, those in runs(symbols(x[1]) for x in part):
+                    key, _ = keys_of(those)
+                    tree = token_sums(key, log_p[np.searchsorted(all_keys, key)])
+                    ids = np.array([number[w] for x in part[first : first + len(those)] for w in (*x[1], b"")])
+                    score = mixed(tree, base[ids], known[ids])
+                    lengths = np.array([len(x[1]) + 1 for x in part[first : first + len(those)]])
+                    starts = np.cumsum(lengths) - lengths
+                    sums = [np.add.reduceat(v, starts).tolist() for v in (known[ids].astype(np.int64), base[ids], score)]
+                    out += [(x[0], not x[2], n, k, total, b, s) for x, n, k, b, s in zip(part[first : first + len(those)], lengths.tolist(), *sums)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(x), kind) for x, kind in zip(zip(*out), kinds)], names)
+        trimmed()
 
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema).withColumnRenamed("id", id_col)
+    rows = word_rows.unionByName(key_rows).unionByName(own).repartitionById(n, "chunk").sortWithinPartitions("kind")
+    return rows.mapInArrow(scored, schema).withColumnRenamed("id", id_col)
 
 
 def trains(doc_id: Column) -> Column:

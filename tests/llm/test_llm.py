@@ -287,8 +287,13 @@ def test_suffix_tree_grows_with_the_corpus(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.score for r in suffix_tree.lm_scores(docs, F.lit(True)).collect()}
     tree = suffix_tree.fit_tree(docs)
-    assert got[0] == pytest.approx(tree.log10([[b"quartz", b"jumps"]])[0])
-    assert got[8] == pytest.approx(tree.log10([suffix_tree.tokens(rows[8][1].encode())])[0])
+    count = Counter(w for _, t in rows for w in [*t.encode().split(), b""])
+    base = sum(count.values()) + len(count) + 1
+    for k in (0, 8):
+        words = [*rows[k][1].encode().split(), b""]
+        spelled = tree.log10(words[:-1])
+        mixture = np.log10(0.5 * 10**spelled + 0.5 * np.array([(count[w] + 1) / base for w in words]))
+        assert got[k] == pytest.approx(mixture.sum())
     assert got[0] > -9
 
 
