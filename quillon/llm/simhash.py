@@ -303,7 +303,7 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 #: Texts whose sets meet in one block, about.
-BLOCK_TEXTS = 128
+BLOCK_TEXTS = 512
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

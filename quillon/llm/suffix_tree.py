@@ -214,7 +214,7 @@ def token_sums(keys: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     return np.add.reduceat(log_p, np.append(0, ends[:-1] + 1)) if len(ends) else np.zeros(0)
 
 
-def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 8 << 20) -> DataFrame:
+def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = 32 << 20) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     Null texts are empty: their only token is the end.  If no row trains, N and V are 0.  Repeated rows are scored each; an
@@ -263,11 +263,16 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
             those = [symbols(tokens(t)) for t in texts(batch)]
             edges = np.flatnonzero(np.append(True, chunk[1:] != chunk[:-1]))
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(chunk)]):
-                if chunk[a] != block or sum(map(len, held)) > 3_000_000:
+                if chunk[a] != block:
                     if held:
                         yield out()
                     block, held = int(chunk[a]), []
                 held += [np.unique(keys_of(parts)[0]) for _, parts in runs(those[a:b])]
+                if sum(map(len, held)) > 4_000_000:
+                    held = [np.unique(np.concatenate(held))]
+                if len(held[0]) > 2_000_000:  # asked in several parts
+                    yield out()
+                    held = []
         if held:
             yield out()
         trimmed()
@@ -276,9 +281,9 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     needed = dealt.select("chunk", "text").mapInArrow(asked_keys, "chunk int, key long")
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     rest = [none("long", "id"), none("string", "text"), none("boolean", "trains")]
-    word_rows = wanted.join(words, "word").select("chunk", F.lit(0).alias("kind"), "word", "c", none("long", "key"), none("double", "p"), *rest)
-    key_rows = needed.join(scores, "key").select("chunk", F.lit(1).alias("kind"), none("binary", "word"), none("long", "c"), "key", "p", *rest)
-    own = dealt.select("chunk", F.lit(2).alias("kind"), none("binary", "word"), none("long", "c"), none("long", "key"), none("double", "p"), "id", "text", "trains")
+    word_rows = wanted.join(words, "word").select("chunk", F.lit(0).alias("kind"), "word", "c", none("long", "key"), none("float", "p"), *rest)
+    key_rows = needed.join(scores, "key").select("chunk", F.lit(1).alias("kind"), none("binary", "word"), none("long", "c"), "key", F.log10("p").cast("float").alias("p"), *rest)
+    own = dealt.select("chunk", F.lit(2).alias("kind"), none("binary", "word"), none("long", "c"), none("long", "key"), none("float", "p"), "id", "text", "trains")
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -303,7 +308,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
                     count[at] = those
                 base, known = np.log10(count + 1) - base_of, count > 0
                 all_keys, at = np.unique(np.concatenate(keys), return_index=True)
-                log_p, ready = np.log10(np.concatenate(p)[at]), True
+                log_p, ready = np.concatenate(p)[at].astype(float), True
                 c, keys, p = [], [], []
             rows = list(zip(column(documents, "id").to_pylist(), texts(documents), column(documents, "trains").to_pylist()))
             for at in range(0, len(rows), 256):
