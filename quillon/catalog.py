@@ -11,7 +11,10 @@ from .functions import paths
 from .functions import text as T
 from .operators import corpus, graph, packing, parsers, ranking
 from .plans import context
+from .plans.index import Index, file_rows
+from .sources import derived, manifests
 from .sources.files import change_ranks
+from .sources.store import new_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -145,8 +148,58 @@ scores AS (SELECT task_id, doc_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5))
 FROM posted JOIN asked USING (term) JOIN df USING (term) JOIN size USING (doc_id), stats GROUP BY ALL)"""
 
 
-def indexed(spark, sf_dir) -> DataFrame:
-    return ranking.postings(files(spark, sf_dir), "doc_id", F.col("path"), F.col("text"))
+_KEPT: dict[tuple[str, str, str], object] = {}
+
+
+def kept(spark, sf_dir, name: str, make):
+    """What ``make`` returns, made once for a session and a folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def stored(spark, df: DataFrame, tag: str, by: str) -> DataFrame:
+    path = new_dir(spark, tag)
+    df.repartition(by).sortWithinPartitions(by).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def indexed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(postings, sizes) of the documents, written once and sorted, so that a task reads its own terms' parts."""
+
+    def make():
+        posting = stored(spark, ranking.postings(files(spark, sf_dir), "doc_id", F.col("path"), F.col("text")), "postings", "term")
+        return posting, stored(spark, posting.groupBy("doc_id").agg(F.sum("tf").alias("len")), "sizes", "doc_id")
+
+    return kept(spark, sf_dir, "postings", make)
+
+
+def sources(spark, sf_dir) -> DataFrame:
+    """documents as a source repository (doc_id, path, language, content)."""
+    return derived.source_files(table(spark, sf_dir, "documents"))
+
+
+#: Manifests of that repository.
+MANIFESTS = [
+    ("composer.json", '{"autoload": {"psr-4": {"App\\\\": "app/"}}, "require": {"laravel/framework": "^11"}}'),
+    ("tsconfig.json", '{"compilerOptions": {"paths": {"@/*": ["src/*"]}}, // aliases\n}'),
+]
+
+
+def tree(spark, sf_dir) -> DataFrame:
+    return sources(spark, sf_dir).select("path", "content").unionByName(spark.createDataFrame(MANIFESTS, "path string, content string"))
+
+
+def repository(spark, sf_dir) -> Index:
+    """The index of that repository, made once for a session."""
+
+    def make():
+        index = Index(spark, new_dir(spark, "index"))
+        index.update(tree(spark, sf_dir))
+        return index
+
+    return kept(spark, sf_dir, "repository", make)
 
 
 def tasks(spark, sf_dir) -> DataFrame:
@@ -155,13 +208,17 @@ def tasks(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {bm25_sql('WHERE item_id = 0')} SELECT doc_id, round(score, 6) AS score, round(score / (SELECT max(score) FROM scores), 6) AS lexical FROM scores")
 def bm25_rank(spark, sf_dir):
-    scores = ranking.lexical(ranking.bm25(indexed(spark, sf_dir), tasks(spark, sf_dir).filter("task_id = 0"), "doc_id"))
+    posting, sizes = indexed(spark, sf_dir)
+    task = tasks(spark, sf_dir).filter("task_id = 0")
+    terms = [r.term for r in task.select(F.explode(T.tokenize(F.col("text"))).alias("term")).distinct().collect()]  # one task's
+    scores = ranking.lexical(ranking.bm25(posting.filter(F.col("term").isin(terms)), task, "doc_id", size=sizes))
     return scores.select("doc_id", F.round("score", 6).alias("score"), F.round("lexical", 6).alias("lexical"))
 
 
 @query(f"WITH {bm25_sql('')} SELECT * FROM (SELECT task_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY task_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM scores) WHERE rank <= 10")
 def bm25_batch(spark, sf_dir):
-    scores = ranking.bm25(indexed(spark, sf_dir), tasks(spark, sf_dir), "doc_id").withColumn("score", F.round("score", 6))
+    posting, sizes = indexed(spark, sf_dir)
+    scores = ranking.bm25(posting, tasks(spark, sf_dir), "doc_id", size=sizes).withColumn("score", F.round("score", 6))
     rank = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "doc_id")).cast("long")
     return scores.withColumn("rank", rank).filter("rank <= 10")
 
@@ -181,24 +238,43 @@ def matched_symbols(spark, sf_dir):
     return hits.groupBy("doc_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 6), ",").alias("matched"))
 
 
-EXPLICIT_TASK = "Look into src0/en/1 and the parser of doc_1234 near src3"
+#: A task that names a path in another case, a file, a stem and a class.
+EXPLICIT_TASK = "Look into PKG/m0/doc_5.py and doc_15, then Doc11.php; Doc22 calls it"
+ASKED = "['doc_15', 'Doc11', 'Doc22', 'doc_5']"
 
 
-@query(f"WITH d AS (SELECT doc_id, {PATH} AS path, CAST(doc_id AS VARCHAR) AS base FROM documents) SELECT doc_id, round(3.0 * CASE WHEN contains('{EXPLICIT_TASK}', path) OR (length(base) > 6 AND contains('{EXPLICIT_TASK}', base)) THEN 1.0 WHEN list_contains(['doc_1234'], base) THEN 0.8 ELSE 0.0 END, 6) AS explicit FROM d")
+@query(f"""WITH {derived.SQL}, f AS (SELECT doc_id, path, regexp_extract(path, '([^/]*)$', 1) AS base, CASE k WHEN 4 THEN 'TestDoc' ELSE 'Doc' END || doc_id AS class FROM src), t AS (SELECT *, regexp_extract(base, '^([^.]*)', 1) AS stem, lower('{EXPLICIT_TASK}') AS task FROM f)
+SELECT doc_id, round(3.0 * CASE WHEN contains(task, lower(path)) OR (length(base) > 6 AND contains(task, lower(base))) THEN 1.0 WHEN list_contains({ASKED}, stem) THEN 0.8 WHEN list_contains({ASKED}, class) THEN 0.6 ELSE 0.0 END, 6)::DOUBLE AS explicit FROM t""")
 def explicit_reference(spark, sf_dir):
-    return files(spark, sf_dir).select("doc_id", F.round(3.0 * ranking.explicit_reference(F.col("path"), F.lit(EXPLICIT_TASK)), 6).alias("explicit"))
+    rows = sources(spark, sf_dir)
+    names = F.array(F.concat(F.when(F.col("doc_id") % 5 == 4, "TestDoc").otherwise("Doc"), F.col("doc_id").cast("string")))
+    return rows.select("doc_id", F.round(3.0 * ranking.explicit_reference(F.col("path"), F.lit(EXPLICIT_TASK), names), 6).alias("explicit"))
 
 
-@query("SELECT doc_id, CASE WHEN lang IN ('markdown', 'text', 'json', 'yaml', 'toml', 'xml', 'ini') THEN 0.55 WHEN lang NOT IN ('python', 'php', 'javascript', 'typescript', 'vue', 'csharp') THEN 0.8 ELSE 1.0 END::DOUBLE AS prior FROM documents")
+@query(f"SELECT path, CASE WHEN language IN ('markdown', 'text', 'json', 'yaml', 'toml', 'xml', 'ini', 'env', 'html', 'css') THEN 0.55 WHEN language NOT IN ('python', 'php', 'javascript', 'typescript', 'vue', 'csharp') THEN 0.8 ELSE 1.0 END::DOUBLE AS prior FROM ({path_sql()})")
 def type_prior(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", ranking.type_prior(F.col("lang")).alias("prior"))
+    return path_classify(spark, sf_dir).select("path", ranking.type_prior(F.col("language")).alias("prior"))
 
 
-@query("SELECT doc_id, round(CASE WHEN doc_id % 5 <> 0 THEN n_chars / 1000.0::DOUBLE WHEN doc_id % 10 = 0 THEN n_chars / 1000.0::DOUBLE + 0.5 ELSE n_chars / 1000.0::DOUBLE * 0.6 END, 6) AS score FROM documents")
+SEED_SQL = "seeds AS (SELECT doc_id AS seed FROM src WHERE k = 0 ORDER BY path LIMIT 8)"
+
+
+@query(f"""WITH {derived.SQL}, {SEED_SQL} SELECT path, round(CASE WHEN k <> 4 THEN 1 + doc_id % 7 WHEN doc_id - 4 IN (SELECT seed FROM seeds) AND length('doc_' || (doc_id - 4)) >= 5 THEN 1 + doc_id % 7 + 0.5 ELSE (1 + doc_id % 7) * 0.6 END, 6)::DOUBLE AS score FROM src""")
 def test_adjust(spark, sf_dir):
-    d = F.col("doc_id")
-    score = ranking.test_adjusted(F.col("n_chars") / 1000, d % 5 == 0, d % 10 == 0, ranking.about_tests(F.lit("repair the cart")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"))
+    rows = sources(spark, sf_dir).select("doc_id", "path", paths.is_test_path(F.col("path")).alias("is_test"))
+    seeds = rows.filter("doc_id % 5 = 0").orderBy("path").limit(8)
+    related = ranking.related_tests(rows, seeds).withColumn("related", F.lit(True))
+    rows = rows.join(related, "path", "left")
+    score = ranking.test_adjusted((1 + F.col("doc_id") % 7).cast("double"), F.col("is_test"), F.coalesce("related", F.lit(False)), ranking.about_tests(F.lit("repair the cart")))
+    return rows.select("path", F.round(score, 6).alias("score"))
+
+
+MEMORY = "The cart of pkg/m0/doc_5.py must stay; doc_100 is slow"
+
+
+@query(f"""WITH {derived.SQL} SELECT path, contains('{MEMORY}', path) OR regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^([^.]*)', 1) = 'doc_100' AS remembered FROM src""")
+def memory_boost(spark, sf_dir):
+    return sources(spark, sf_dir).select("path", ranking.memory_match(F.col("path"), MEMORY, F.lit("speed doc_100 up")).alias("remembered"))
 
 
 HREF = "'href=\"([^\"]+)\"'"
@@ -257,23 +333,43 @@ def unique_definitions(spark, sf_dir):
     return graph.unique_definitions(names_of(spark, sf_dir), "doc_id")
 
 
-@query(f"WITH {NAMES}, defs AS (SELECT name, min(doc_id) AS dst FROM names WHERE doc_id % 4 = 0 AND length(name) >= 4 AND NOT list_contains({COMMON}, name) GROUP BY 1 HAVING count(DISTINCT doc_id) = 1) SELECT DISTINCT doc_id AS src, dst, 0.5::DOUBLE AS weight FROM names JOIN defs USING (name) WHERE doc_id <> dst")
+CLASS = "CASE k WHEN 4 THEN 'TestDoc' ELSE 'Doc' END || doc_id"
+USES = f"uses AS (SELECT DISTINCT path AS src, unnest(regexp_extract_all(content, {IDENT}, 1)) AS name FROM src), defs AS (SELECT {CLASS} AS name, path AS dst FROM src WHERE length({CLASS}) >= 4)"
+
+
+@query(f"WITH {derived.SQL}, {USES} SELECT DISTINCT src, dst, 0.5::DOUBLE AS weight FROM uses JOIN defs USING (name) WHERE src <> dst")
 def reference_edges(spark, sf_dir):
-    names = names_of(spark, sf_dir)
-    return graph.reference_edges(names, graph.unique_definitions(names.filter("doc_id % 4 = 0"), "doc_id"), "doc_id")
+    index = repository(spark, sf_dir)
+    return graph.reference_edges(index.table("names"), graph.defining(index.table("symbols")), "path")
+
+
+RESOLVED = """hits AS (SELECT a.path AS src, b.path AS dst, 1.0 AS weight FROM src a JOIN src b ON b.doc_id = a.doc_id + 10 WHERE a.k IN (0, 1, 2)
+UNION ALL SELECT a.path, b.path, 1.0 FROM src a JOIN src b ON b.doc_id = a.doc_id - 4 WHERE a.k = 4
+UNION ALL SELECT a.path, b.path, 0.6 FROM src a JOIN src b ON b.k = 3 AND b.here = a.here + 1 WHERE a.k = 3)"""
+
 
+@query(f"WITH {derived.SQL}, {RESOLVED} SELECT src, dst, weight::DOUBLE AS weight FROM hits")
+def resolve_imports(spark, sf_dir):
+    index = repository(spark, sf_dir)
+    m = manifests.read_manifests(tree(spark, sf_dir))
+    return graph.resolve_imports(index.table("imports"), index.table("files"), graph.defining(index.table("symbols")), m.psr4, m.aliases, m.base_url)
 
-@query(f"WITH d AS (SELECT doc_id, {MODULE} AS module FROM documents), s AS (SELECT * FROM d ORDER BY doc_id LIMIT 8), c AS (SELECT module, 0.4 * count(*) / 8 AS x FROM s GROUP BY 1) SELECT doc_id, round(x, 6) AS module_match FROM d JOIN c USING (module)")
+
+@query(f"WITH {derived.SQL}, {RESOLVED}, {USES} SELECT src, dst, 'import' AS kind, weight::DOUBLE AS weight FROM hits UNION ALL SELECT DISTINCT src, dst, 'reference', 0.5 FROM uses JOIN defs USING (name) WHERE src <> dst AND NOT EXISTS (SELECT 1 FROM hits h WHERE h.src = uses.src AND h.dst = defs.dst)")
+def dependency_edges(spark, sf_dir):
+    return repository(spark, sf_dir).table("deps").select("src", "dst", "kind", "weight")
+
+
+@query(f"WITH d AS (SELECT doc_id, {MODULE} AS module, n_chars FROM documents), s AS (SELECT * FROM (SELECT * FROM d ORDER BY n_chars DESC, doc_id LIMIT 8) WHERE n_chars > 0.25 * (SELECT max(n_chars) FROM d)), c AS (SELECT module, 0.4 * count(*) / (SELECT count(*) FROM s) AS x FROM s GROUP BY 1) SELECT doc_id, round(x, 6)::DOUBLE AS module_match FROM d JOIN c USING (module)")
 def module_match(spark, sf_dir):
     rows = files(spark, sf_dir).select("doc_id", "module")
-    return ranking.module_match(rows, rows.orderBy("doc_id").limit(8), "doc_id").withColumn("module_match", F.round("module_match", 6))
+    seeds = ranking.seeds(table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score")), "doc_id")
+    return ranking.module_match(rows, seeds, "doc_id").withColumn("module_match", F.round("module_match", 6))
 
 
-@query("SELECT user_id, round(1 / (1 + (row_number() OVER (ORDER BY last_ts DESC, last_id DESC) - 1) / 25.0), 6) AS recency FROM (SELECT user_id, max(ts) AS last_ts, arg_max(event_id, (ts, event_id)) AS last_id FROM events GROUP BY 1)")
+@query("SELECT user_id, round(1 / (1 + (row_number() OVER (ORDER BY last_ts DESC, user_id) - 1) / 25.0), 6) AS recency FROM (SELECT user_id, max(ts) AS last_ts FROM events GROUP BY 1)")
 def recency_rank(spark, sf_dir):
-    last = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m"))
-    # newest first: events are numbered as their order in the log
-    log = last.select("user_id", F.row_number().over(Window.orderBy(F.desc("m.ts"), F.desc("m.event_id"))).alias("position"))
+    log = table(spark, sf_dir, "events").select("user_id", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("position"))
     return change_ranks(log, "user_id").select("user_id", F.round("recency", 6).alias("recency"))
 
 
@@ -282,6 +378,103 @@ def symbol_search(spark, sf_dir):
     return corpus.symbol_search(table(spark, sf_dir, "part"), "a_e", "p_name", "p_partkey").select("p_partkey", "p_name")
 
 
+MEMBERS = "m AS (SELECT path, k, doc_id, 'do_' || unnest(words) AS name, generate_subscripts(words, 1) AS n, len(words) AS total FROM src)"
+SYMBOLS = f"""{MEMBERS}, symbols AS (SELECT path, {CLASS} AS name, 'class' AS kind, CAST(NULL AS VARCHAR) AS parent, CASE k WHEN 1 THEN 5 WHEN 3 THEN 4 ELSE 3 END AS line_start, CASE k WHEN 0 THEN 4 + 2 * len(words) WHEN 4 THEN 4 + 2 * len(words) WHEN 1 THEN 6 + len(words) WHEN 2 THEN 4 + len(words) ELSE 6 + len(words) END AS line_end, 0 AS pos,
+CASE k WHEN 2 THEN 'export class ' WHEN 3 THEN 'public class ' ELSE 'class ' END || {CLASS} AS signature, k FROM src
+UNION ALL SELECT path, name, 'method', {CLASS}, CASE k WHEN 0 THEN 3 + 2 * n WHEN 4 THEN 3 + 2 * n WHEN 1 THEN 5 + n WHEN 2 THEN 3 + n ELSE 5 + n END, CASE k WHEN 0 THEN 4 + 2 * n WHEN 4 THEN 4 + 2 * n WHEN 1 THEN 5 + n WHEN 2 THEN 3 + n ELSE 5 + n END, n,
+CASE k WHEN 1 THEN 'public function ' || name || '()' WHEN 2 THEN name || '(x: number): void' WHEN 3 THEN 'public int ' || name || '()' ELSE 'def ' || name || '(self)' END, k FROM m)"""
+
+
+@query(f"WITH {derived.SQL}, {SYMBOLS} SELECT path, pos::INT AS pos, name, kind, signature, parent, line_start::INT AS line_start, line_end::INT AS line_end FROM symbols")
+def parse_symbols(spark, sf_dir):
+    """Symbols of every file of the derived repository, by the parser of its language."""
+    return parsers.symbols(sources(spark, sf_dir))
+
+
+IMPORTS = """im AS (SELECT path, near AS raw, 'relative' AS kind, 0 AS pos FROM src WHERE k = 0 UNION ALL SELECT path, near || '.Doc' || (doc_id + 10), 'relative', 1 FROM src WHERE k = 0
+UNION ALL SELECT path, 'App\\M' || there || '\\Doc' || (doc_id + 10), 'use', 0 FROM src WHERE k = 1 UNION ALL SELECT path, '@/m' || there || '/doc' || (doc_id + 10), 'relative', 0 FROM src WHERE k = 2
+UNION ALL SELECT path, 'Api.N' || (here + 1), 'namespace', 0 FROM src WHERE k = 3 UNION ALL SELECT path, 'pkg.m' || ((doc_id - 4) // 50) || '.doc_' || (doc_id - 4), 'module', 0 FROM src WHERE k = 4
+UNION ALL SELECT path, 'pkg.m' || ((doc_id - 4) // 50) || '.doc_' || (doc_id - 4) || '.Doc' || (doc_id - 4), 'module', 1 FROM src WHERE k = 4)"""
+
+
+@query(f"WITH {derived.SQL}, {IMPORTS} SELECT path, pos::INT AS pos, raw, kind FROM im")
+def parse_imports(spark, sf_dir):
+    return parsers.imports(sources(spark, sf_dir))
+
+
+@query(f"""WITH {derived.SQL}, {IMPORTS}, u AS (SELECT path, string_agg(regexp_extract(raw, '([^/\\\\]*)$', 1), ', ' ORDER BY pos) AS used FROM im GROUP BY 1)
+SELECT path, 'Defines ' || {CLASS} || CASE WHEN len(words) > 0 THEN '; ' || len(words) || ' operations incl. ' || array_to_string(list_transform(words[1:6], lambda w : 'do_' || w), ', ') ELSE '' END || '; uses ' || used || '.' AS summary FROM src JOIN u USING (path)""")
+def structural_summary(spark, sf_dir):
+    index = repository(spark, sf_dir)
+    rows = parsers.structural_summary(index.table("symbols"), index.table("imports"), "path")
+    return rows
+
+
+@query(f"""WITH {derived.SQL}, {SYMBOLS} SELECT path, pos::INT AS ord, CASE WHEN parent IS NULL THEN '' ELSE '  ' END || signature || '    # L' || line_start || CASE WHEN line_end <> line_start THEN '-' || line_end ELSE '' END AS line FROM symbols WHERE pos < 60
+UNION ALL SELECT path, 60, '# ... ' || (count(*) - 60) || ' more symbols' FROM symbols GROUP BY path HAVING count(*) > 60""")
+def signature_lines(spark, sf_dir):
+    return packing.signature_lines(repository(spark, sf_dir).table("symbols"))
+
+
+@query(f"""WITH {derived.SQL} SELECT path, language, CASE k WHEN 0 THEN 'pkg/m' WHEN 1 THEN 'app/M' WHEN 2 THEN 'src/m' WHEN 3 THEN 'Api/N' ELSE 'tests/m' END || CASE k WHEN 4 THEN here ELSE here END AS module, octet_length(encode(content))::BIGINT AS size, {LOC.replace('text', 'content')}::BIGINT AS loc, sha256(content) AS sha256, k = 4 AS is_test, false AS is_config, CASE k WHEN 1 THEN 'App\\M' || here WHEN 3 THEN 'Api.N' || here END AS namespace FROM src""")
+def index_files(spark, sf_dir):
+    rows = repository(spark, sf_dir).table("files").filter("language <> 'json'")
+    return rows.select("path", "language", "module", "size", "loc", "sha256", "is_test", "is_config", "namespace")
+
+
+@query(f"WITH {derived.SQL}, {SYMBOLS} SELECT s.name, s.kind, s.signature, s.line_start::INT AS line_start, s.path, f.language FROM symbols s JOIN src f ON f.path = s.path WHERE lower(s.name) LIKE '%doc_5%' ORDER BY s.name = 'doc_5' DESC, length(s.name), s.path, s.pos LIMIT 20")
+def search(spark, sf_dir):
+    index = repository(spark, sf_dir)
+    return corpus.search(index.table("symbols"), index.table("files"), "doc_5").select("name", "kind", "signature", "line_start", "path", "language")
+
+
+@query(f"WITH {derived.SQL} SELECT path FROM src WHERE path ILIKE '%m1/test_d_c%' ORDER BY path LIMIT 20")
+def search_paths(spark, sf_dir):
+    index = repository(spark, sf_dir)
+    return corpus.search(index.table("symbols"), index.table("files"), "m1/test_d_c").select("path")
+
+
+def lookup_sql(target: str) -> str:
+    return f"""SELECT '{target}' AS target, path, level FROM (SELECT path, level, min(level) OVER () AS best FROM (SELECT path, 0 AS level FROM src WHERE path = '{target}' UNION ALL SELECT path, 1 FROM src WHERE {CLASS} = '{target}'
+UNION ALL SELECT path, 2 FROM src WHERE path ILIKE '%/{target}.%' UNION ALL SELECT path, 3 FROM src WHERE path ILIKE '%{target}%')) WHERE level = best ORDER BY path LIMIT 5"""
+
+
+TARGETS = ("pkg/m0/doc_5.py", "Doc21", "test_doc_10", "m1/", "nothing")
+
+
+@query(f"WITH {derived.SQL} " + " UNION ALL ".join(f"(SELECT * FROM ({lookup_sql(t)}))" for t in TARGETS))
+def graph_lookup(spark, sf_dir):
+    index = repository(spark, sf_dir)
+    parts = [graph.lookup(index.table("files"), index.table("symbols"), t).select(F.lit(t).alias("target"), "path", "level") for t in TARGETS]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query(f"""WITH {derived.SQL}, {RESOLVED}, {USES}, every AS (SELECT src, dst, max(weight) AS weight FROM (SELECT src, dst, weight FROM hits UNION ALL SELECT src, dst, 0.5 FROM uses JOIN defs USING (name) WHERE src <> dst) GROUP BY ALL)
+SELECT * FROM (SELECT 'out' AS direction, dst AS path, weight::DOUBLE AS weight FROM every WHERE src = 'Api/N0/Doc23.cs' ORDER BY weight DESC, dst LIMIT 20) UNION ALL SELECT * FROM (SELECT 'in', src, weight::DOUBLE FROM every WHERE dst = 'Api/N0/Doc23.cs' ORDER BY weight DESC, src LIMIT 20)""")
+def neighbour_report(spark, sf_dir):
+    return graph.neighbour_report(repository(spark, sf_dir).table("deps"), "Api/N0/Doc23.cs")
+
+
+def made_manifests(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "documents").groupBy(F.coalesce("source", F.lit("none")).alias("repo")).agg(F.count("*").alias("n"))
+    package = F.when(F.col("n") % 2 == 0, '{"dependencies": {"vue": "3", "react": "18"}, "devDependencies": {"vite": "5"}}').otherwise('{"dependencies": {,}')
+    composer = F.when(F.col("n") % 3 == 0, '{"require": {"symfony/http-kernel": "7"}, "require-dev": {"phpunit/phpunit": "11"}}').otherwise('{"require": {"laravel/framework": "11", "symfony/mailer": "7"}}')
+    files = F.array(
+        F.struct(F.lit("package.json").alias("path"), package.alias("content")), F.struct(F.lit("composer.json").alias("path"), composer.alias("content")),
+        F.struct(F.lit("src/Api/Api.csproj").alias("path"), F.lit('<Project Sdk="Microsoft.NET.Sdk.Web"><PackageReference Include="xunit"/></Project>').alias("content")),
+        F.struct(F.when(F.col("n") % 5 == 0, "requirements.txt").otherwise("docs/requirements.txt").alias("path"), F.lit("FastAPI\nSQLAlchemy==2").alias("content")), F.struct(F.lit("Dockerfile").alias("path"), F.lit("FROM x").alias("content")),
+    )
+    return n.select("repo", F.explode(files).alias("f")).select("repo", "f.*")
+
+
+@query("""WITH r AS (SELECT coalesce(source, 'none') AS repo, count(*) AS n FROM documents GROUP BY 1) SELECT repo, array_to_string(list_concat(CASE WHEN n % 3 = 0 THEN ['Symfony', 'PHPUnit'] ELSE ['Laravel'] END, CASE WHEN n % 2 = 0 THEN ['React', 'Vue', 'Vite'] ELSE ['Node'] END, ['ASP.NET Core', 'xUnit'], CASE WHEN n % 5 = 0 THEN ['FastAPI', 'SQLAlchemy'] ELSE [] END, ['Docker']), ', ') AS frameworks FROM r""")
+def frameworks(spark, sf_dir):
+    return manifests.frameworks(made_manifests(spark, sf_dir), "repo").select("repo", F.array_join("frameworks", ", ").alias("frameworks"))
+
+
 def snapshots(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("sha256"), F.concat(F.lit("s"), "doc_id").alias("summary"))
     old = rows.filter("doc_id % 10 <> 0")
@@ -362,10 +555,37 @@ def savings(spark, sf_dir):
 MODELS = ("gpt-4o", "gpt-4o-mini-2024-07-18", "claude-opus-5-x", "unknown", "gpt-4.1-mini")
 
 
-@query("SELECT m AS model, round(1000000 / 1e6 * i + 500000 / 1e6 * o, 6) AS cost FROM (VALUES ('gpt-4o', 2.5, 10.0), ('gpt-4o-mini-2024-07-18', 0.15, 0.6), ('claude-opus-5-x', 15.0, 75.0), ('unknown', 3.0, 15.0), ('gpt-4.1-mini', 0.4, 1.6)) AS v(m, i, o)")
+@query("SELECT p_partkey, round(p_partkey / 1e6 * i + p_size * 1000 / 1e6 * o, 8) AS cost FROM part JOIN (VALUES (0, 2.5, 10.0), (1, 0.15, 0.6), (2, 15.0, 75.0), (3, 3.0, 15.0), (4, 0.4, 1.6)) AS v(k, i, o) ON k = p_partkey % 5")
 def cost_estimate(spark, sf_dir):
-    rows = spark.createDataFrame([(m,) for m in MODELS], "model string")
-    return rows.select("model", F.round(corpus.cost(F.col("model"), F.lit(1_000_000), F.lit(500_000)), 6).alias("cost"))
+    model = F.element_at(F.array(*map(F.lit, MODELS)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(corpus.cost(model, F.col("p_partkey"), F.col("p_size") * 1000), 8).alias("cost"))
+
+
+USAGE_TS = "SELECT ts, event_type AS role, 'm' || (event_id % 3) AS model, event_id % 1000 AS i, user_id % 100 AS o, round(value, 4) AS cost FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events)"
+
+
+def usage_log(spark, sf_dir) -> tuple[DataFrame, DataFrame, Column]:
+    """events as a usage log and as a run log, and a time a week before the last event."""
+    events = table(spark, sf_dir, "events")
+    log = events.select("ts", F.col("event_type").alias("role"), F.concat(F.lit("m"), F.col("event_id") % 3).alias("model"), (F.col("event_id") % 1000).alias("input_tokens"), (F.col("user_id") % 100).alias("output_tokens"), F.round("value", 4).alias("cost_usd"))
+    runs = events.select("ts", (F.col("event_id") % 1000).alias("tokens"), (F.col("event_id") % 5000).alias("baseline_tokens"), (F.col("user_id") % 10).alias("selected"), (F.col("user_id") % 50).alias("considered"))
+    return log, runs, F.lit(events.agg((F.max("ts") - F.expr("interval 7 days")).alias("s")).first().s)
+
+
+@query(f"WITH u AS ({USAGE_TS}) SELECT count(*) AS calls, coalesce(sum(i), 0)::BIGINT AS input_tokens, coalesce(sum(o), 0)::BIGINT AS output_tokens, round(coalesce(sum(cost), 0), 4) AS cost_usd FROM u")
+def usage_totals_since(spark, sf_dir):
+    return corpus.usage_summary(*usage_log(spark, sf_dir))[0].withColumn("cost_usd", F.round("cost_usd", 4))
+
+
+@query(f"WITH u AS ({USAGE_TS}) SELECT role, model, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(cost), 4) AS cost_usd FROM u GROUP BY ALL")
+def usage_by_role_since(spark, sf_dir):
+    return corpus.usage_summary(*usage_log(spark, sf_dir))[1].withColumn("cost_usd", F.round("cost_usd", 4))
+
+
+@query("SELECT count(*) AS runs, coalesce(sum(event_id % 1000), 0)::BIGINT AS tokens, coalesce(sum(event_id % 5000), 0)::BIGINT AS baseline_tokens, round(coalesce(avg(user_id % 10), 0), 6) AS selected, round(coalesce(avg(user_id % 50), 0), 6) AS considered FROM events WHERE ts >= (SELECT max(ts) - INTERVAL 7 DAY FROM events)")
+def context_runs_since(spark, sf_dir):
+    rows = corpus.usage_summary(*usage_log(spark, sf_dir))[2]
+    return rows.withColumn("selected", F.round("selected", 6)).withColumn("considered", F.round("considered", 6))
 
 
 CANDIDATES = f"{TOKENS_OF}, c AS (SELECT doc_id, tokens FROM documents JOIN t USING (doc_id) WHERE tokens >= 600 AND NOT (doc_id % 7 = 0) AND lang IN ('en', 'fr') AND (doc_id % 3 = 0 OR doc_id % 3 = 1))"
@@ -391,28 +611,32 @@ def summary_estimate(spark, sf_dir):
     return candidates(spark, sf_dir).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.least("tokens", F.lit(1500)) + 200), F.lit(0)).alias("tokens"))
 
 
-PACK = f"{TOKENS_OF}, c AS (SELECT doc_id, lang, tokens, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents JOIN t USING (doc_id)), best AS (SELECT * FROM c WHERE r <= 60)"
+PACK = f"{TOKENS_OF}, best AS (SELECT doc_id, coalesce(lang, '') AS lang, tokens, row_number() OVER (PARTITION BY coalesce(lang, '') ORDER BY n_chars DESC, doc_id) AS r FROM documents JOIN t USING (doc_id))"
 
 
-def best(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars", T.token_count(F.col("text")).alias("tokens"))
+def best(spark, sf_dir, most: int | None = None) -> DataFrame:
+    """Documents of each language, longest first; tokens are counted for the ``most`` first alone, where a tier looks at no more."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n_chars", "text")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id"))
-    return docs.withColumn("r", rank).filter("r <= 60")
+    if most is None:
+        return docs.select("doc_id", "lang", "n_chars", T.token_count(F.col("text")).alias("tokens"))
+    first = docs.drop("text").withColumn("r", rank).filter(F.col("r") <= most)
+    return first.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "lang", "n_chars", "r", T.token_count(F.col("text")).alias("tokens"))
 
 
 @query(f"WITH RECURSIVE {PACK}, g AS (SELECT lang, 0::BIGINT AS r, 0::BIGINT AS used, 0::BIGINT AS n, NULL::BIGINT AS kept, NULL::BIGINT AS cost FROM best GROUP BY lang UNION ALL SELECT g.lang, b.r, used + CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN b.tokens ELSE 0 END, n + CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN 1 ELSE 0 END, CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN b.doc_id END, CASE WHEN used + b.tokens <= 30000 AND n < 12 THEN b.tokens END FROM g JOIN best b ON b.lang = g.lang AND b.r = g.r + 1) SELECT lang, n AS ord, kept AS doc_id, cost AS tokens FROM g WHERE kept IS NOT NULL")
 def pack_first_fit(spark, sf_dir):
-    return packing.first_fit(best(spark, sf_dir), "lang", [F.col("r")], "doc_id", "tokens", 30_000)
+    return packing.first_fit(best(spark, sf_dir), "lang", [-F.col("n_chars"), F.col("doc_id")], "doc_id", "tokens", 30_000)
 
 
 @query(f"WITH {PACK}, u AS (SELECT lang, doc_id, r AS ord, sum(tokens) OVER (PARTITION BY lang ORDER BY r)::BIGINT AS used FROM best WHERE r <= 40) SELECT * FROM u WHERE used <= 60000")
 def pack_take_while(spark, sf_dir):
-    return packing.take_while(best(spark, sf_dir), "lang", [F.col("r")], "tokens", 60_000).select("lang", "doc_id", "ord", "used")
+    return packing.take_while(best(spark, sf_dir, packing.MAP_FILES), "lang", [F.col("r")], "tokens", 60_000).select("lang", "doc_id", "ord", "used")
 
 
 @query(f"WITH RECURSIVE {PACK}, g AS (SELECT lang, 0::BIGINT AS r, 0 AS n, 0 AS tests, NULL::BIGINT AS kept FROM best GROUP BY lang UNION ALL SELECT g.lang, b.r, n + CASE WHEN b.doc_id % 2 = 0 AND tests >= 0.34 * (n + 1) THEN 0 ELSE 1 END, tests + CASE WHEN b.doc_id % 2 = 0 AND NOT tests >= 0.34 * (n + 1) THEN 1 ELSE 0 END, CASE WHEN b.doc_id % 2 = 0 AND tests >= 0.34 * (n + 1) THEN NULL ELSE b.doc_id END FROM g JOIN best b ON b.lang = g.lang AND b.r = g.r + 1 AND b.r <= 30) SELECT lang, kept AS doc_id FROM g WHERE kept IS NOT NULL")
 def signature_share_cap(spark, sf_dir):
-    rows = best(spark, sf_dir).withColumn("is_test", F.col("doc_id") % 2 == 0)
+    rows = best(spark, sf_dir, packing.SIGNATURE_FILES).withColumn("is_test", F.col("doc_id") % 2 == 0)
     return packing.test_capped(rows, "lang", [F.col("r")], "is_test").select("lang", "doc_id")
 
 
@@ -422,22 +646,43 @@ def region_merge(spark, sf_dir):
     return packing.merged_ranges(rows, ["conv_id"], "first", "last")
 
 
-DIFF = "diff --git a/src/a.py b/src/a.py\n+x\ndiff --git a/old.ts b/new.ts\n-y\n"
+def diffs(spark, sf_dir) -> DataFrame:
+    """Each conversation as a diff with one file a turn."""
+    turn = F.concat(F.lit("diff --git a/old/"), "conv_id", F.lit(" b/new/"), "conv_id", F.lit("/"), "turn", F.lit(".md\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")), F.lit("\n"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", turn.alias("part"))
+    return rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "").alias("diff"))
 
 
-@query("SELECT unnest(['src/a.py', 'new.ts']) AS path")
+@query("SELECT conv_id, 'new/' || conv_id || '/' || turn || '.md' AS path FROM conversations")
 def diff_paths(spark, sf_dir):
-    return spark.createDataFrame([(DIFF,)], "diff string").select(F.explode(T.diff_paths(F.col("diff"))).alias("path"))
+    return diffs(spark, sf_dir).select("conv_id", F.explode(T.diff_paths(F.col("diff"))).alias("path"))
 
 
-@query(f"WITH {PACK}, r AS (SELECT lang, doc_id, r FROM best) SELECT lang, doc_id, 'rank ' || r AS line FROM r WHERE r <= 5")
-def signature_lines(spark, sf_dir):
-    return best(spark, sf_dir).filter("r <= 5").select("lang", "doc_id", F.concat(F.lit("rank "), "r").alias("line"))
+DIFFS = f"d AS (SELECT conv_id, string_agg('diff --git a/old/' || conv_id || ' b/new/' || conv_id || '/' || turn || '.md' || chr(10) || '+' || replace(text, chr(10), chr(10) || '+') || chr(10), '' ORDER BY turn) AS text FROM conversations GROUP BY 1), t AS ({token_sql('d', 'conv_id')})"
+
+
+@query(f"WITH {DIFFS} SELECT conv_id, greatest(1500, 2000 - tokens)::BIGINT AS budget FROM t")
+def review_budget(spark, sf_dir):
+    return diffs(spark, sf_dir).select("conv_id", corpus.review_budget(F.col("diff"), 2000).cast("long").alias("budget"))
 
 
-@query("SELECT conv_id, turn, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x : trim(x)), lambda x : regexp_matches(x, '^[-*1-9]'))) AS bullet FROM conversations")
+@query("SELECT conv_id, turn, 'diff --git a/x b/x' || chr(10) || '+1' || chr(10) AS diff, 'n/' || conv_id || '.md' AS path, text || chr(10) AS body, 'Done.' AS summary FROM conversations WHERE NOT contains(text, '```')")
+def agent_output(spark, sf_dir):
+    """Each turn inside what an agent might return: a diff and a whole file."""
+    fence = F.lit("```")
+    said = F.concat(F.lit("Done.\n"), fence, F.lit("diff\ndiff --git a/x b/x\n+1\n"), fence, F.lit("\n\n\n\n### FILE: `n/"), "conv_id", F.lit(".md`\n"), fence, F.lit("md\n"), "text", F.lit("\n"), fence, F.lit("\n"))
+    rows = table(spark, sf_dir, "conversations").filter(~F.col("text").contains("```")).select("conv_id", "turn", corpus.agent_output(said).alias("o"))
+    entry = F.map_entries("o.files")[0]
+    return rows.select("conv_id", "turn", "o.diff", entry["key"].alias("path"), entry["value"].alias("body"), "o.summary")
+
+
+@query(f"WITH {derived.SQL}, r AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS n FROM src) SELECT doc_id, CASE n % 4 WHEN 0 THEN '* ' WHEN 1 THEN '- ' ELSE '7. ' END || w AS bullet FROM r WHERE n % 4 <> 2")
 def rules_bullets(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(T.rules_bullets(F.col("text"))).alias("bullet"))
+    """Each document's words as lines of a rules file: bullets, indented bullets, numbers and plain lines."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.translate("text", derived.UPPER, derived.LOWER), F.lit("[a-z]{4,}"), F.lit(0))))
+    sign = lambda i: F.when(i % 4 == 3, "* ").when(i % 4 == 0, "  - ").when(i % 4 == 1, "").otherwise("7. ")
+    rules = F.array_join(F.transform(words, lambda w, i: F.concat(sign(i), w)), "\n")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(T.rules_bullets(rules)).alias("bullet"))
 
 
 @query("SELECT doc_id, CASE WHEN regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-+$', ''), '^$', 'task') = '' THEN 'task' ELSE regexp_replace(regexp_replace(left(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 40), '-+$', ''), '^$', 'task') END AS slug FROM documents")
@@ -450,30 +695,22 @@ def task_terms(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n_name, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
-def star_rollup(spark, sf_dir):
-    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
-    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy("n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+PACKAGE_TASK = "Fix Doc50 and what doc_60 does with it"
 
 
-@query()
-def context_package(spark, sf_dir):
-    """Rank every document for one task and pack the best into a budget."""
-    return context.build(files(spark, sf_dir), tasks(spark, sf_dir).filter("task_id = 0"), budget=12_000).package
+def package(spark, sf_dir) -> context.Package:
+    return context.build(repository(spark, sf_dir), tree(spark, sf_dir), PACKAGE_TASK)
 
 
 @query()
-def parse_symbols(spark, sf_dir):
-    """Symbols of a few source texts, one for each parser."""
-    return parsers.symbols(parsers.samples(spark))
-
-
-@query()
-def parse_imports(spark, sf_dir):
-    return parsers.imports(parsers.samples(spark))
+def context_package(spark, sf_dir):
+    """Rank the derived repository for one task and pack it into a budget: one row."""
+    p = package(spark, sf_dir)
+    row = (p.task, p.budget, p.tokens, p.considered, p.baseline_tokens, p.top_score, p.truncated, p.low_confidence, p.markdown, p.to_json())
+    return spark.createDataFrame([row], "task string, budget long, tokens long, considered long, baseline_tokens long, top_score double, truncated boolean, low_confidence boolean, markdown string, json string")
 
 
 @query()
-def structural_summary(spark, sf_dir):
-    return parsers.structural_summary(parsers.symbols(parsers.samples(spark)), parsers.imports(parsers.samples(spark)), "path")
+def ranked_files(spark, sf_dir):
+    """All files that score for the task, with every signal."""
+    return context.rank(repository(spark, sf_dir), PACKAGE_TASK)

@@ -17,21 +17,32 @@ SUFFIXES = {
     "java": "java", "kt": "kotlin", "rb": "ruby", "dockerfile": "docker", "graphql": "graphql", "gql": "graphql",
 }
 NAMES = {"Dockerfile": "docker", "Makefile": "make", "composer.json": "json", "package.json": "json", ".env.example": "env"}
+#: Paths of tests and of configuration (fixed patterns).
 TESTS = (r"(^|/)(tests?|__tests__|spec|specs)/", r"\.(test|spec)\.[jt]sx?$", r"(^|/)test_[^/]+\.py$", r"_test\.py$", r"Tests?\.php$", r"Tests?\.cs$", r"\.Tests?/", r"(^|/)e2e/", r"(^|/)cypress/")
 CONFIGS = (
     r"(^|/)(config|configs|settings)/", r"(^|/)appsettings.*\.json$", r"(^|/)(\.env.*|composer\.json|package\.json)$",
     r"(^|/)(tsconfig|jsconfig|vite\.config|next\.config|tailwind\.config|webpack\.config|phpunit\.xml|pytest\.ini|pyproject\.toml)",
     r"\.csproj$", r"(^|/)docker-compose.*\.ya?ml$", r"(^|/)Dockerfile$",
 )
-IGNORED_DIRS = ".git .hg .svn .idea .vscode node_modules vendor dist build out coverage .next .nuxt __pycache__ .venv venv env .mypy_cache .pytest_cache .ruff_cache bin obj storage bootstrap/cache public/build target .turbo .cache".split()
-IGNORED_FILES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml composer.lock poetry.lock Pipfile.lock Cargo.lock *.min.js *.min.css *.map *.lock *.log "
-    "*.sqlite *.db *.png *.jpg *.jpeg *.gif *.svg *.ico *.webp *.pdf *.zip *.gz *.tar *.woff *.woff2 *.ttf *.eot *.mp4 *.mp3 *.pyc *.dll "
-    "*.exe *.so *.class *.jar .env .env.* *.env *.pem *.key *.p12 *.pfx *.jks id_rsa* *.secret secrets.json secrets.yaml secrets.yml "
-    "*credentials*.json .npmrc .pypirc .netrc LICENSE LICENSE.* LICENCE LICENCE.* COPYING COPYING.* NOTICE NOTICE.* OFL.txt OFL-FAQ.txt "
-    "AUTHORS PATENTS CODE_OF_CONDUCT.md *.LICENSE.txt"
-).split()
-FENCES = {x: x for x in "python php javascript typescript vue csharp json yaml sql markdown blade razor html css toml xml".split()} | {"shell": "bash"}
+#: Folders and files that no index holds; ``*`` stands for anything (fixed values).
+IGNORED_DIRS = [
+    ".git", ".hg", ".svn", ".idea", ".vscode", "node_modules", "vendor", "dist", "build", "out", "coverage", ".next", ".nuxt", "__pycache__", ".venv",
+    "venv", "env", ".mypy_cache", ".pytest_cache", ".ruff_cache", "bin", "obj", "storage", "bootstrap/cache", "public/build", "target", ".turbo",
+    ".cache",
+]
+IGNORED_FILES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "composer.lock", "poetry.lock", "Pipfile.lock", "Cargo.lock", "*.min.js", "*.min.css",
+    "*.map", "*.lock", "*.log", "*.sqlite", "*.db", "*.png", "*.jpg", "*.jpeg", "*.gif", "*.svg", "*.ico", "*.webp", "*.pdf", "*.zip", "*.gz",
+    "*.tar", "*.woff", "*.woff2", "*.ttf", "*.eot", "*.mp4", "*.mp3", "*.pyc", "*.dll", "*.exe", "*.so", "*.class", "*.jar", ".env", ".env.*",
+    "*.env", "*.pem", "*.key", "*.p12", "*.pfx", "*.jks", "id_rsa*", "*.secret", "secrets.json", "secrets.yaml", "secrets.yml", "*credentials*.json",
+    ".npmrc", ".pypirc", ".netrc", "LICENSE", "LICENSE.*", "LICENCE", "LICENCE.*", "COPYING", "COPYING.*", "NOTICE", "NOTICE.*", "OFL.txt",
+    "OFL-FAQ.txt", "AUTHORS", "PATENTS", "CODE_OF_CONDUCT.md", "*.LICENSE.txt",
+]
+#: What a language is called in front of a fenced block (fixed values).
+FENCES = {
+    "python": "python", "php": "php", "javascript": "javascript", "typescript": "typescript", "vue": "vue", "csharp": "csharp", "json": "json", "yaml": "yaml",
+    "sql": "sql", "markdown": "markdown", "blade": "blade", "razor": "razor", "html": "html", "css": "css", "toml": "toml", "xml": "xml", "shell": "bash",
+}
 #: Languages that have a parser.
 STRUCTURAL = ("python", "php", "javascript", "typescript", "vue", "csharp")
 

@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import new_dir
+
 FULL_FILES, SIGNATURE_FILES, MAP_FILES = 12, 30, 40
 FULL_SHARE, FULL_RATIO, FULL_LEAST, CONFIDENT, TEST_SHARE = 0.70, 0.35, 0.35, 0.50, 0.34
 
 
 def first_fit(candidates: DataFrame, group: str, order: list[Column], key: str, cost: str, budget: int, most: int = FULL_FILES) -> DataFrame:
-    """(group, ord, key, cost) of what greedy first fit takes: what does not fit is passed over."""
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    rows = candidates.withColumn("_r", rank).groupBy(group).agg(F.array_sort(F.collect_list(F.struct("_r", F.col(key).alias("k"), F.col(cost).cast("long").alias("c")))).alias("xs"))
-    item = rows.schema["xs"].dataType.elementType.simpleString()
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{item}>").alias("kept"))
-
-    def take(acc: Column, x: Column) -> Column:
-        fits = (acc["used"] + x["c"] <= budget) & (F.size(acc["kept"]) < most)
-        return F.struct(F.when(fits, acc["used"] + x["c"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+    """(group, ord, key, cost) of what greedy first fit takes, in the ascending ``order``: what does not fit is passed over.
 
-    kept = rows.select(group, F.posexplode(F.aggregate("xs", start, take)["kept"]).alias("pos", "x"))
-    return kept.select(group, (F.col("pos") + 1).cast("long").alias("ord"), F.col("x.k").alias(key), F.col("x.c").alias(cost))
+    Each step takes each group's first candidate behind the last one taken whose cost the rest of the budget allows.  So a group's
+    list is never gathered in one row, however long it is; candidates are written once and read ``most`` times.
+    """
+    spark = candidates.sparkSession
+    rows = candidates.select(F.col(group).alias("g"), F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]).alias("o"), F.col(key).alias("k"), F.col(cost).cast("long").alias("c"))
+    path = new_dir(spark, "candidates")
+    rows.filter(F.col("c") <= budget).write.parquet(path)
+    rows = spark.read.parquet(path)
+    taken = None
+    for step in range(1, most + 1):
+        left = rows
+        if taken is not None:
+            state = taken.groupBy("g").agg(F.max("o").alias("last"), F.sum("c").alias("used"), F.count("*").alias("n"))
+            left = rows.join(state, "g").filter((F.col("n") == step - 1) & (F.col("o") > F.col("last")) & (F.col("used") + F.col("c") <= budget))
+        best = left.groupBy("g").agg(F.min(F.struct("o", "k", "c")).alias("x")).select("g", F.lit(step).cast("long").alias("ord"), "x.*")
+        every = best if taken is None else taken.unionByName(best)
+        # a few rows for each group; cut here, as each step reads the one before twice
+        path = new_dir(spark, "taken")
+        every.write.parquet(path)
+        taken, before = spark.read.parquet(path), taken
+        if before is not None and taken.filter(F.col("ord") == step).isEmpty():
+            break
+    return taken.select(F.col("g").alias(group), "ord", F.col("k").alias(key), F.col("c").alias(cost))
 
 
 def take_while(candidates: DataFrame, group: str, order: list[Column], cost: str, budget: int, most: int = MAP_FILES) -> DataFrame:
@@ -56,3 +71,14 @@ def merged_ranges(ranges: DataFrame, group: list[str], first: str, last: str, ga
     at = Window.partitionBy(*group).orderBy(first, last).rowsBetween(Window.unboundedPreceding, 0)
     rows = ranges.withColumn("_new", new).withColumn("_run", F.sum("_new").over(at))
     return rows.groupBy(*group, "_run").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("_run")
+
+
+def signature_lines(symbols: DataFrame, most: int = 60) -> DataFrame:
+    """(path, ord, line) of each file's symbols (path, pos, name, kind, signature, parent, line_start, line_end): ``most`` of them, members
+    indented, long values cut, and a line that counts the rest."""
+    shown = F.when(F.col("signature") != "", F.col("signature")).otherwise(F.col("name"))
+    shown = F.when(F.col("kind").isin("property", "const") & (F.length(shown) > 80), F.concat(F.substring(shown, 1, 77), F.lit("..."))).otherwise(shown)
+    span = F.concat(F.lit("    # L"), F.col("line_start").cast("string"), F.when(F.col("line_end") != F.col("line_start"), F.concat(F.lit("-"), F.col("line_end").cast("string"))).otherwise(""))
+    lines = symbols.filter(F.col("pos") < most).select("path", F.col("pos").alias("ord"), F.concat(F.when(F.col("parent").isNotNull(), "  ").otherwise(""), shown, span).alias("line"))
+    rest = symbols.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") > most)
+    return lines.unionByName(rest.select("path", F.lit(most).alias("ord"), F.concat(F.lit("# ... "), (F.col("n") - most).cast("string"), F.lit(" more symbols")).alias("line")))

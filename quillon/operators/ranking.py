@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,28 +15,61 @@ WEIGHTS = {"lexical": 1.0, "explicit_reference": 3.0, "dependency": 0.6, "git_re
 
 
 def term_counts(files: DataFrame, key: str, text: Column, top: int = 400) -> DataFrame:
-    """(key, term, count) of each file's most frequent terms; ties go to the term seen first."""
-    terms = files.select(key, F.posexplode(T.content_terms(text)).alias("pos", "term")).groupBy(key, "term").agg(F.count("*").alias("count"), F.min("pos").alias("first"))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("count"), "first"))
-    return terms.withColumn("rank", rank).filter(F.col("rank") <= top).select(key, "term", "count")
-
-
-def postings(files: DataFrame, key: str, path: Column, text: Column) -> DataFrame:
-    """(key, term, tf): path terms count three times, contents by the logarithm of their count."""
-    named = files.select(key, F.explode(T.tokenize(path)).alias("term")).groupBy(key, "term").agg((F.count("*") * 3).alias("n"))
-    stop = F.array(*map(F.lit, T.STOPWORDS))
-    inside = term_counts(files, key, text).filter(~F.array_contains(stop, F.col("term"))).select(key, "term", (1 + F.least(F.floor(F.log2("count") + 1e-9), F.lit(3))).alias("n"))
-    return named.unionByName(inside).groupBy(key, "term").agg(F.sum("n").cast("long").alias("tf"))
-
+    """(key, term, count) of each file's most frequent terms; ties go to the term seen first.
 
-def bm25(posting: DataFrame, tasks: DataFrame, key: str, task: str = "task_id", k1: float = K1, b: float = B) -> DataFrame:
+    A file's words are counted where the file is read, so nothing is shuffled: one Arrow pass, each different word split once.
+    """
+    rows = files.select(key, text.cast("string").alias("text"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split: dict[str, list[str]] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                row, terms, counts = [], [], []
+                for n, t in enumerate(part.column(1).to_pylist()):
+                    found = T.term_list(t or "", split)
+                    if len(found) > top:
+                        found = dict(sorted(found.items(), key=lambda kv: -kv[1])[:top])
+                    row += [n] * len(found)
+                    terms += found.keys()
+                    counts += found.values()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row, pa.int64())), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], [key, "term", "count"])
+
+    return rows.mapInArrow(run, f"{key} {kind}, term string, count long")
+
+
+def postings(files: DataFrame, key: str, path: Column, text: Column, names: DataFrame | None = None, imported: DataFrame | None = None, namespace: Column | None = None, summary: Column | None = None) -> DataFrame:
+    """(key, term, tf): path terms count three times, symbol names and summaries twice, imports' last segments and the namespace once,
+    contents by the logarithm of their count.  ``names`` (key, name) and ``imported`` (key, raw) are a file's symbols and imports."""
+
+    def of(rows: DataFrame, text: Column, times: int) -> DataFrame:
+        return rows.select(key, F.explode(T.tokenize(text)).alias("term"), F.lit(times).alias("n"))
+
+    parts = [of(files, path, 3)]
+    if names is not None:
+        parts.append(of(names, F.col("name"), 2))
+    if imported is not None:
+        parts.append(of(imported, F.regexp_extract("raw", r"([^/\\\\]*)$", 1), 1))
+    if namespace is not None:
+        parts.append(of(files, namespace, 1))
+    if summary is not None:
+        parts.append(of(files, summary, 2))
+    inside = term_counts(files, key, text).filter(~F.col("term").isin(*T.STOPWORDS)).select(key, "term", (1 + F.least(F.floor(F.log2("count") + 1e-9), F.lit(3))).cast("int").alias("n"))
+    for p in parts:
+        inside = inside.unionByName(p)
+    return inside.groupBy(key, "term").agg(F.sum("n").cast("long").alias("tf"))
+
+
+def bm25(posting: DataFrame, tasks: DataFrame, key: str, task: str = "task_id", k1: float = K1, b: float = B, size: DataFrame | None = None) -> DataFrame:
     """(task, key, score) of files that share a term with a task.  tasks: (task, text).
 
-    A term that a task repeats counts each time.  Corpus figures are sums over all postings; only postings of asked terms
-    are joined.
+    A term that a task repeats counts each time.  Corpus figures are sums over all postings; only postings of asked terms are
+    joined.  ``size`` (key, len): each file's sum of tf, where an index keeps it.
     """
     asked = tasks.select(task, F.explode(T.tokenize(F.col("text"))).alias("term")).groupBy(task, "term").agg(F.count("*").alias("qf"))
-    size = posting.groupBy(key).agg(F.sum("tf").alias("len"))
+    size = posting.groupBy(key).agg(F.sum("tf").alias("len")) if size is None else size
     stats = size.agg(F.count("*").alias("n"), F.avg("len").alias("avg"))  # one row
     hits = posting.join(asked.select("term").distinct(), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
@@ -44,8 +80,8 @@ def bm25(posting: DataFrame, tasks: DataFrame, key: str, task: str = "task_id",
 
 
 def lexical(scores: DataFrame, task: str = "task_id", weight: float = 1.0) -> DataFrame:
-    best = scores.groupBy(task).agg(F.max("score").alias("best"))
-    return scores.join(best, task).withColumn("lexical", weight * F.col("score") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0)).drop("best")
+    best = F.max("score").over(Window.partitionBy(task))
+    return scores.withColumn("lexical", weight * F.col("score") / F.when(best > 0, best).otherwise(1.0))
 
 
 def identifiers(task: Column) -> Column:
@@ -53,24 +89,56 @@ def identifiers(task: Column) -> Column:
     return F.filter(T.words(task), T.looks_like_identifier)
 
 
+def stem_of(path: Column) -> Column:
+    """A file's name up to its first dot that is not in front."""
+    return F.regexp_extract(F.regexp_extract(path, r"([^/]*)$", 1), r"^(\.?[^.]*)", 1)
+
+
 def explicit_reference(path: Column, task: Column, names: Column | None = None, asked: Column | None = None) -> Column:
     """Share of the explicit weight: a path or long file name in the task, then its stem, then a name it defines.
 
-    ``asked``: the task's ``identifiers``, where they have been computed once for all files.
+    Paths and file names are found in any case.  ``asked``: the task's ``identifiers``, where they have been computed once for all files.
     """
     base = F.regexp_extract(path, r"([^/]*)$", 1)
-    stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
     asked = identifiers(task) if asked is None else asked
-    whole = task.contains(path) | ((F.length(base) > 6) & task.contains(base))
-    out = F.when(whole, 1.0).when(F.array_contains(asked, stem), 0.8)
+    low = F.lower(task)
+    whole = low.contains(F.lower(path)) | ((F.length(base) > 6) & low.contains(F.lower(base)))
+    out = F.when(whole, 1.0).when(F.array_contains(asked, stem_of(path)), 0.8)
     return (out.when(F.arrays_overlap(names, asked), 0.6) if names is not None else out).otherwise(0.0)
 
 
+def named_files(path: Column, named: list[str], share: float = 1.5) -> Column:
+    """Share of the explicit weight for files that the user lists: once for each entry that is the path, its end or its name."""
+    base = F.regexp_extract(path, r"([^/]*)$", 1)
+    hits = [F.when((path == p) | path.endswith("/" + p) | (base == p), share).otherwise(0.0) for p in named]
+    return sum(hits, F.lit(0.0))
+
+
+def memory_match(path: Column, memory: str, task: Column) -> Column:
+    """True if project memory names the path, or its stem (six letters or more) is a word of both memory and task."""
+    stem, word = stem_of(path), lambda text: T.words(text)
+    known = F.array_contains(word(F.lit(memory)), stem) & F.array_contains(word(task), stem)
+    return F.lit(memory).contains(path) | ((F.length(stem) >= 6) & known)
+
+
+#: Subjects of a test that are too general to stand for one file (fixed values).
+GENERAL_SUBJECTS = ("utils", "util", "helpers", "helper", "index", "base", "main", "app", "common", "types", "models", "conftest", "setup", "config", "", "test")
+
+
+def related_tests(files: DataFrame, chosen: DataFrame, key: str = "path") -> DataFrame:
+    """(key) of tests whose subject is the stem of a seed that is no test.  files: (key, is_test); chosen: at most a few seeds (key, is_test)."""
+    stem = F.regexp_replace(F.regexp_extract(F.col(key), r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    subject = T.test_subject(stem)
+    tests = files.filter("is_test").select(key, subject.alias("subject")).filter((F.length("subject") >= 5) & ~F.lower("subject").isin(*GENERAL_SUBJECTS))
+    seeds = chosen.filter("not is_test").select(stem_of(F.col(key)).alias("subject")).distinct()
+    return tests.join(F.broadcast(seeds), "subject", "left_semi").select(key)
+
+
 def type_prior(language: Column) -> Column:
     """Factor on everything a file scored so far."""
     from ..functions.paths import STRUCTURAL
 
-    return F.when(language.isin("markdown", "text", "json", "yaml", "toml", "xml", "ini"), 0.55).when(~language.isin(*STRUCTURAL), 0.8).otherwise(1.0)
+    return F.when(language.isin("markdown", "text", "json", "yaml", "toml", "xml", "ini", "env", "html", "css"), 0.55).when(~language.isin(*STRUCTURAL), 0.8).otherwise(1.0)
 
 
 def about_tests(task: Column) -> Column:

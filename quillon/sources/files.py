@@ -25,10 +25,14 @@ def discover(files: DataFrame) -> DataFrame:
     return files.filter(~paths.ignored(F.col("path"))).withColumn("language", paths.language_for(F.col("path"))).filter("language is not null").orderBy("path")
 
 
-def change_ranks(log: DataFrame, key: str = "path", position: str = "position") -> DataFrame:
-    """(key, recency): 1 / (1 + rank / 25), rank by first appearance in a newest-first change log."""
-    first = log.groupBy(key).agg(F.min(position).alias("first"))
-    parts = first.withColumn("block", F.floor(F.col("first") / 65536))
+def change_ranks(log: DataFrame, key: str = "path", position: str = "position", blocks: int = 4096) -> DataFrame:
+    """(key, recency): 1 / (1 + rank / 25), rank by first appearance in a newest-first change log; ties by key.
+
+    Keys are ranked inside blocks of positions, and each block starts where the ones before end: one task orders ``blocks`` rows at most.
+    """
+    first = log.groupBy(key).agg(F.min(position).cast("long").alias("first"))
+    edge = first.agg(F.min("first").alias("least"), (F.floor((F.max("first") - F.min("first")) / blocks) + 1).alias("width"))
+    parts = first.join(F.broadcast(edge)).withColumn("block", F.floor((F.col("first") - F.col("least")) / F.col("width"))).select(key, "first", "block")
     before = parts.groupBy("block").agg(F.count("*").alias("n"))
     base = before.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("block", "base")
     rank = F.row_number().over(Window.partitionBy("block").orderBy("first", key)) - 1

@@ -72,10 +72,10 @@ def test_entry_has_rows(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["token_count", "redact", "edge_max_merge", "snapshot_diff", "pack_first_fit", "usage_by_role"])
+@pytest.mark.parametrize("name", sorted(__spark_entry__.catalog.ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations", "benchmark"):
+    for t in "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split():
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = __spark_entry__.queries()[name](spark, SF).toPandas()
     cols = sorted(df.columns)
