@@ -82,18 +82,22 @@ class Profiles:
         return self.names[order[0]], float(b / (a + b)) if a + b else 0.5
 
 
-def fit_profiles(labelled: DataFrame, size: int = PROFILE, rows_for_each: int = 8_000, text_col: str = "text", lang_col: str = "lang") -> Profiles:
-    """Profiles of the labels in ``labelled``; for each at most about ``rows_for_each`` rows, taken by a hash of the text.
+def fit_profiles(labelled: DataFrame, size: int = PROFILE, rows_for_each: int = 8_000, max_labels: int = 1_000, text_col: str = "text", lang_col: str = "lang") -> Profiles:
+    """Profiles of the labels in ``labelled``; for each about ``rows_for_each`` rows at most, taken by a hash of the text and its row's
+    number, so that copies of one text are not all taken or all left.
 
-    Null labels and null texts teach nothing.  The sample is the documented bound of this fit; n-grams are summed on the
-    executors and ``size`` of them for each label come to the driver.
+    Null labels and null texts teach nothing; an empty table gives no profile.  The sample is the documented bound of this fit; n-grams are
+    summed on the executors and ``size`` of them for each label come to the driver.  More than ``max_labels`` different labels are
+    an error, as they are no languages; none is left out silently.
     """
     src = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).dropna()
-    counts = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(1000).collect()
+    counts = src.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_labels + 1).collect()
+    if len(counts) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
     if not counts:
         return Profiles({}, size)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, rows_for_each / r["count"]))])
-    chance = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1_000_000)) / 1e6
+    chance = F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1_000_000)) / 1e6
     src = src.filter(chance < share[F.col("lang")])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:

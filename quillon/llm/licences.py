@@ -59,7 +59,8 @@ def words_of(text: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score) of every row.
 
-    Null, empty and wordless texts have no words, no labels and score 0.  score: the largest share of a template's indexed
+    Null, empty and wordless texts have no words, no labels and score 0.  Repeated rows are scanned each, texts of any length whole; several
+    templates of one label count once; an empty table gives no rows.  score: the largest share of a template's indexed
     words found at their places, or 0.5 where only a base phrase stands.
     """
     spark = docs.sparkSession

@@ -172,7 +172,10 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, id_col: str =
 
 
 def keep(docs: DataFrame, scorer: Scorer, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The documents whose score is below ``threshold``, with their columns as they are."""
+    """The documents whose score is below ``threshold``, with their columns, whatever their names, as they are.
+
+    Null and empty texts have no sentence and stay; repeated rows score alike; an empty table stays one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
