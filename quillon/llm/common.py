@@ -51,7 +51,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     files, target = _filesystem(spark, path)
     files.deleteOnExit(target)
     out = spark.read.schema(df.schema).parquet(path)
