@@ -39,17 +39,18 @@ def symbols(words: list[bytes]) -> bytes:
     return bytes([START]) * DEPTH + b"\xfe".join([*words, b""]) + bytes([END])
 
 
-def keys_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, part numbers) of all symbols: DEPTH bytes before, and the symbol."""
-    x = np.frombuffer(b"".join(parts), np.uint8).astype(np.int64)
-    key = np.zeros(len(x), np.int64)
-    for back in range(DEPTH, -1, -1):
-        key[DEPTH:] = key[DEPTH:] << 8 | x[DEPTH - back : len(x) - back]
-    lengths = np.array([len(p) for p in parts])
-    owner = np.repeat(np.arange(len(parts)), lengths)
-    begin = np.cumsum(lengths) - lengths
-    real = np.arange(len(x)) - begin[owner] >= DEPTH
-    return key[real], owner[real]
+def keys_of(parts: list[bytes]) -> np.ndarray:
+    """Keys of all symbols: DEPTH bytes before, and the symbol, read as one number from eight bytes that begin there."""
+    raw = b"".join([*parts, bytes(8)])
+    n = len(raw) - 8 - DEPTH
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    key = (np.ndarray((n,), ">u8", raw, strides=(1,)).astype(np.uint64) >> np.uint64(8 * (7 - DEPTH))).view(np.int64)
+    ends = np.cumsum([len(p) for p in parts])[:-1]
+    real = np.ones(n, bool)
+    if len(ends):  # the start signs of a text are no symbols
+        real[(ends[:, None] + np.arange(-DEPTH, 0)).ravel()] = False
+    return key[real]
 
 
 def counted_once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +119,7 @@ class SuffixTree:
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 probability of each token of a text, its end included."""
-        keys = keys_of([symbols(words)])[0]
+        keys = keys_of([symbols(words)])
         return token_sums(keys, np.log10(self.probability(keys)))
 
 
@@ -154,11 +155,14 @@ def contexts(docs: DataFrame, training: Column, text_col: str = "text") -> DataF
         trains = column(batch, "trains").to_pylist()
         for counted in (True, False):
             for _, parts in runs(symbols(tokens(t)) for t, x in zip(texts(batch), trains) if x is counted):
-                k, n = counted_once(keys_of(parts)[0])
+                k, n = counted_once(keys_of(parts))
                 keys.append(k)
                 counts.append(n if counted else np.zeros_like(n))
-        keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(at, np.concatenate(counts), len(keys)).astype(np.int64))], ["key", "n"])
+        keys, counts = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(np.add.reduceat(counts[order], first).astype(np.int64))], ["key", "n"])
 
     src = docs.select(F.col(text_col).cast("string").alias("text"), training.alias("trains"))
     return map_batches(src, run, "key long, n long", gather_bytes=16 << 20).groupBy("key").agg(F.sum("n").alias("n"))
@@ -209,11 +213,16 @@ def key_scores(counted: DataFrame, least: int = LEAST, min_gain: float = 20.0, t
 
 
 def mixed(tree: np.ndarray, base: np.ndarray, known: np.ndarray, share: float = MIX) -> np.ndarray:
-    """log10 probability of tokens: ``share`` of the tree's and the rest of the base's; a token that the base does not know is spelled
-    by the tree in either part, so that all tokens' probabilities sum to one."""
-    top = np.maximum(tree, base)
-    both = top + np.log10(share * 10.0 ** (tree - top) + (1 - share) * 10.0 ** (base - top))
-    return np.where(known, both, tree + np.log10(share + (1 - share) * 10.0**base))
+    """log10 probability of tokens: ``share`` of the tree's (given as log10) and the rest of the base's (given as it is); a token that the
+    base does not know is spelled by the tree in either part, so that all tokens' probabilities sum to one."""
+    both = np.log(share * np.exp(tree * np.log(10)) + (1 - share) * base) / np.log(10)
+    return np.where(known, both, tree + _unknown(base, known, share))
+
+
+def _unknown(base: np.ndarray, known: np.ndarray, share: float) -> float:
+    """What log10 of the tree's figure gains for a token that the base does not know: all of those have one base probability."""
+    some = base[~known]
+    return float(np.log10(share + (1 - share) * some[0])) if len(some) else 0.0
 
 
 def token_sums(keys: np.ndarray, log_p: np.ndarray) -> np.ndarray:
@@ -275,7 +284,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
                     if held:
                         yield out()
                     block, held = int(chunk[a]), []
-                held += [counted_once(keys_of(parts)[0])[0] for _, parts in runs(those[a:b])]
+                held += [counted_once(keys_of(parts))[0] for _, parts in runs(those[a:b])]
                 if sum(map(len, held)) > 4_000_000:
                     held = [counted_once(np.concatenate(held))[0]]
                 if len(held[0]) > 2_000_000:  # asked in several parts
@@ -296,7 +305,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
     names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def scored(batches):
-        number, c, keys, p, index, log_p, ready = {}, [], [], [], None, None, False
+        number, c, keys, p, index, log_p, chance, ready = {}, [], [], [], None, None, None, False
         for batch in batches:
             kind = column(batch, "kind").to_numpy(zero_copy_only=False)
             edges = np.searchsorted(kind, [1, 2])
@@ -313,6 +322,7 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
                 for at, those in c:
                     count[at] = those
                 base, known = np.log10(count + 1) - base_of, count > 0
+                chance = 10.0**base
                 keys, p = np.concatenate(keys), np.concatenate(p)
                 once = ~pd.Index(keys).duplicated()  # a key that was asked in several parts
                 index, log_p, ready = pd.Index(keys[once]), p[once].astype(float), True
@@ -322,10 +332,10 @@ def lm_scores(docs: DataFrame, training: Column, id_col: str = "doc_id", text_co
                 part = [(i, tokens(t), trains) for i, t, trains in rows[at : at + 256]]
                 out = []
                 for first, those in runs(symbols(x[1]) for x in part):
-                    key, _ = keys_of(those)
+                    key = keys_of(those)
                     tree = token_sums(key, log_p[index.get_indexer(key)])
                     ids = np.array([number[w] for x in part[first : first + len(those)] for w in (*x[1], b"")])
-                    score = mixed(tree, base[ids], known[ids])
+                    score = mixed(tree, chance[ids], known[ids])
                     lengths = np.array([len(x[1]) + 1 for x in part[first : first + len(those)]])
                     starts = np.cumsum(lengths) - lengths
                     sums = [np.add.reduceat(v, starts).tolist() for v in (known[ids].astype(np.int64), base[ids], score)]
