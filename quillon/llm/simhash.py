@@ -15,6 +15,8 @@ verified by the count of differing bits.  Keys hold 35 bits or more, so chance c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -199,6 +201,24 @@ def parity_print(shingles: np.ndarray) -> bytes:
     return np.packbits(np.bincount(shingles.view(np.uint64) % np.uint64(PARITY), minlength=PARITY).astype(np.uint8) & 1).tobytes()
 
 
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """A set's size, and a parity print of a power of two of bits, at least one for each shingle and 64 in all, in words of 64."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    odd = np.bincount(shingles & (bits - 1), minlength=bits).astype(np.uint8) & 1
+    return np.append(np.int64(len(shingles)), np.packbits(odd, bitorder="little").view("<i8").astype(np.int64))
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """False only if two sets, known by their wide prints, cannot have that similarity: they differ in at least as many shingles as
+    their prints in bits.  The longer print is folded, as an odd count of two halves is that of the whole."""
+    both = int(a[0] + b[0])
+    a, b = (a[1:], b[1:]) if len(a) >= len(b) else (b[1:], a[1:])
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    need = int(np.ceil(similarity / (1 + similarity) * both - 1e-9))
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum(dtype=np.int64)) <= both - 2 * need
+
+
 def prefix(shingles: np.ndarray, common: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a set in one order of all shingles, so many that similar sets share one of them.
 
@@ -302,18 +322,22 @@ def in_bitmap(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(keys & (BITMAP - 1)) >> 6] >> (keys & 63) & 1).astype(bool)
 
 
+def as_edges(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("d").alias("u"), F.col("d_").alias("v"))
+
+
 #: Texts whose sets meet in one block, about.
 BLOCK_TEXTS = 512
 
 
-def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): the pairs (d, d_) whose shingle sets (d, s) have a Jaccard similarity of ``similarity`` or more.
+def passing(pairs: DataFrame, sets: DataFrame, test: Callable[[np.ndarray, np.ndarray], bool], tag: str) -> DataFrame:
+    """The pairs (d, d_) whose rows ``s`` in ``sets`` (d, s array<long>) pass the test.
 
     Pairs meet in blocks: a component of all pairs, or, if that has many texts, a part of it for the pairs between two parts of
-    its texts.  So a set travels once for each block that asks for it, not once for each pair, and no block grows with its group.
+    its texts.  So a row travels once for each block that asks for it, not once for each pair, and no block grows with its group.
     """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = written(components(pairs.select(F.col("d").alias("u"), F.col("d_").alias("v"))), "candidates")
+    found = written(components(as_edges(pairs)), "candidates")
     parts = found.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"))
     dealt = pairs.join(found.join(parts, "component"), F.col("d") == F.col("node"))
     part = lambda d: F.pmod(F.xxhash64(d, F.lit(1)), F.col("parts"))
@@ -338,15 +362,15 @@ def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
                     block, known = key, {}
                 if other is None:
                     known[d] = values[offsets[k] : offsets[k + 1]]
-                elif jaccard(known[d], known[other]) >= similarity:
+                elif test(known[d], known[other]):
                     links.append((d, other))
             known = {d: x.copy() if x.base is not None else x for d, x in known.items()}  # not the whole batch
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["d", "d_"])
         trimmed()
 
-    # a block's sets come before its pairs
-    out = written(rows.repartition(n, "block").sortWithinPartitions("block", F.col("d_").asc_nulls_first()).mapInArrow(compare, "u long, v long"), "verified")
+    # a block's rows of ``sets`` come before its pairs
+    out = written(rows.repartition(n, "block").sortWithinPartitions("block", F.col("d_").asc_nulls_first()).mapInArrow(compare, "d long, d_ long"), tag)
     discard(found, dealt)
     held.unpersist()
     return out
@@ -356,7 +380,8 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
     """(d, component): texts (by XXH64 of their lower-cased words) that chains of similar texts connect.
 
     A link is a pair whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more, verified exactly.
-    Candidates share a shingle of their prefixes, which every such pair does.  Of the candidates of one key a
+    Candidates share a shingle of their prefixes, which every such pair does; pairs whose wide prints differ in too many bits leave
+    before their sets are made.  Of the candidates of one key a
     spanning forest, closest pairs first, is verified: a group of m near copies costs m - 1 verifications a key.  Then every
     other candidate pair is verified whose texts are still apart, so no link between two components is left.
     """
@@ -373,17 +398,31 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         sets = [shingle_set(x, shingle) for x in t]
         v = np.frombuffer(b"".join(map(parity_print, sets)), ">i8").astype(np.int64).reshape(-1, 3)
         first = listed([prefix(s, *common.value, similarity) for s in sets])
-        cols = [pa.array([same_words(x) for x in t], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v[:, k]) for k in range(3)), first]
-        return pa.RecordBatch.from_arrays(cols, ["d", "n", "v0", "v1", "v2", "s"])
-
-    def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
-        t = texts(batch)
-        d = np.array([same_words(x) for x in t], np.int64)
-        some = np.flatnonzero(in_bitmap(asked.value, d))
-        return pa.RecordBatch.from_arrays([pa.array(d[some]), listed([shingle_set(t[k], shingle) for k in some.tolist()])], ["d", "s"])
+        wide = listed([wide_print(s) for s in sets])
+        cols = [pa.array([same_words(x) for x in t], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v[:, k]) for k in range(3)), wide, first]
+        return pa.RecordBatch.from_arrays(cols, ["d", "n", "v0", "v1", "v2", "w", "s"])
+
+    def links(pairs: DataFrame) -> DataFrame:
+        """The similar ones of the pairs.  Whole sets are made for the texts of pairs whose wide prints are alike, alone."""
+        alike = passing(pairs, every.select("d", F.col("w").alias("s")), lambda a, b: may_be_similar(a, b, similarity), "alike")
+        ends = alike.select(F.explode(F.array("d", "d_")).alias("d")).distinct()
+        asked = spark.sparkContext.broadcast(bitmap(ends, "d"))
+
+        def shingles(batch: pa.RecordBatch) -> pa.RecordBatch:
+            t = texts(batch)
+            d = np.array([same_words(x) for x in t], np.int64)
+            some = np.flatnonzero(in_bitmap(asked.value, d))
+            return pa.RecordBatch.from_arrays([pa.array(d[some]), listed([shingle_set(t[k], shingle) for k in some.tolist()])], ["d", "s"])
+
+        sets = written(map_batches(src, shingles, "d long, s array<long>", 200).dropDuplicates(["d"]).join(ends, "d", "left_semi"), "shingles")
+        release(spark)
+        near = passing(alike, sets, lambda a, b: jaccard(a, b) >= similarity, "links")
+        asked.unpersist()
+        discard(alike, sets)
+        return near
 
     # copies of a text leave here; the rest is one row for each different text
-    every = written(map_batches(src, prefixes, "d long, n long, v0 long, v1 long, v2 long, s array<long>").dropDuplicates(["d"]), "prefixes")
+    every = written(map_batches(src, prefixes, "d long, n long, v0 long, v1 long, v2 long, w array<long>, s array<long>").dropDuplicates(["d"]), "prefixes")
 
     def linked(batches):
         held: list[pa.RecordBatch] = []
@@ -408,19 +447,14 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
             yield from pairs(pa.Table.from_batches(held))
 
     def candidates(prefixes: DataFrame) -> DataFrame:
-        rows = prefixes.select(*(c for c in prefixes.columns if c != "s"), F.posexplode("s").alias("i", "key"))
+        rows = prefixes.select(*(c for c in prefixes.columns if c not in ("w", "s")), F.posexplode("s").alias("i", "key"))
         return rows.repartition(n, "key").sortWithinPartitions("key", "d").mapInArrow(linked, "d long, d_ long").distinct()
 
     pairs = written(candidates(every), "pairs")
     release(spark)
-    # whole sets are made for texts that the bitmap lets through, and kept for the texts of candidate pairs alone
     ends = pairs.select(F.explode(F.array("d", "d_")).alias("d")).distinct()
-    asked = spark.sparkContext.broadcast(bitmap(ends, "d"))
-    sets = written(map_batches(src, shingles, "d long, s array<long>", 200).dropDuplicates(["d"]).join(ends, "d", "left_semi"), "shingles")
-    release(spark)
-
-    near = written(verified_links(pairs, sets, similarity), "links")
-    found = components(near)
+    near = links(pairs)
+    found = components(as_edges(near))
     group = written(ends.join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c")), "groups")
     release(spark)
     apart = pairs.join(group, "d").join(group.select(F.col("d").alias("d_"), F.col("c").alias("c_")), "d_").filter("c <> c_")
@@ -428,12 +462,12 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         # where all pairs of a key's forest are linked, so are all its texts: the others' texts are among ``ends``
         rest = written(candidates(every.join(group, "d")).join(pairs, ["d", "d_"], "left_anti"), "rest")
         release(spark)
-        found = components(near.unionByName(verified_links(rest, sets, similarity)))
-        discard(rest)
+        more = links(rest)
+        found = components(as_edges(near.unionByName(more)))
+        discard(rest, more)
     out = written(every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component")), "similar")
-    discard(every, pairs, sets, near, group)
+    discard(every, pairs, near, group)
     common.unpersist()
-    asked.unpersist()
     return out
 
 

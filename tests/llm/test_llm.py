@@ -109,6 +109,24 @@ def test_pairs_close_to_the_threshold_are_linked(spark):
     assert kept_of(spark, texts) == sorted(group.index(g) for g in set(group))
 
 
+def test_wide_prints_drop_no_similar_pair():
+    rng = np.random.default_rng(6)
+    assert simhash.may_be_similar(simhash.wide_print(np.zeros(0, np.int64)), simhash.wide_print(np.zeros(0, np.int64)), 0.8)
+    dropped = 0
+    for n in (1, 2, 60, 64, 65, 120, 130, 1000, 1025, 5000):
+        for _ in range(30):
+            a = np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n))
+            for share in (0.0, 0.5, 0.8, 0.9, 1.0):
+                more = rng.integers(-(1 << 63), (1 << 63) - 1, int(rng.integers(0, n // 4 + 1)))
+                b = np.unique(np.append(a[: int(share * n + 0.5)], more if share else rng.integers(-(1 << 63), (1 << 63) - 1, n)))
+                x, y = simhash.wide_print(a), simhash.wide_print(b)
+                may = simhash.may_be_similar(x, y, 0.8)
+                assert may == simhash.may_be_similar(y, x, 0.8)
+                assert may or simhash.jaccard(a, b) < 0.8
+                dropped += not share and n >= 120 and not may
+    assert dropped == 150
+
+
 def test_links_behind_a_failed_pair_are_found(spark, monkeypatch):
     """Of windows over one text a-b and b-c are linked (19 of 21 and 18 of 22 shingles); a-c (17 of 23) can be a closer candidate than b-c."""
     # as in a corpus far larger than the sample that orders shingles
