@@ -484,13 +484,14 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
     their names, stay as they are; an empty table stays one.
     """
     names = docs.columns
-    mark, best_id, best_words = free_names(names, "words", "best_id", "best_words")
+    mark, number, none, best_id, best_none, best_words = free_names(names, "words", "number", "none", "best_id", "best_none", "best_words")
     schema = docs.select(F.lit(0).cast("long").alias(mark), "*").schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([same_words(t) for t in texts(batch, text_col)], pa.int64()), *batch.columns], [mark, *names])
 
-    marked = map_batches(docs, run, schema)
+    own_id = F.col(id_col).cast("long")
+    marked = map_batches(docs, run, schema).select("*", F.coalesce(own_id, F.lit(0)).alias(number), own_id.isNull().alias(none))
     groups = similar_texts(docs, similarity, shingle, text_col=text_col)
 
     def narrow(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -498,6 +499,8 @@ def keep_one(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col:
 
     ids = map_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), narrow, "id long, d long")
     first = ids.groupBy("d").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id")).alias("i"))
-    best = first.join(groups, "d").groupBy("component").agg(F.min(F.struct("i", "d")).alias("b")).select(F.col("b.i.id").alias(best_id), F.col("b.d").alias(best_words))
-    kept = marked.join(best.hint("shuffle_hash"), (F.col(mark) == F.col(best_words)) & F.col(id_col).cast("long").eqNullSafe(F.col(best_id)), "left_semi")
-    return kept.dropDuplicates([mark, id_col]).select(*names)
+    best = first.join(groups, "d").groupBy("component").agg(F.min(F.struct("i", "d")).alias("b"))
+    best = best.select(F.coalesce("b.i.id", F.lit(0)).alias(best_id), F.col("b.i.none").alias(best_none), F.col("b.d").alias(best_words))
+    alike = (F.col(mark) == F.col(best_words)) & (F.col(number) == F.col(best_id)) & (F.col(none) == F.col(best_none))
+    # the join's keys are those of the repeats, so texts are shuffled once
+    return marked.join(best.hint("shuffle_hash"), alike, "left_semi").dropDuplicates([mark, number, none]).select(*names)
