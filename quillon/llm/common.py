@@ -173,7 +173,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Batches of edges are first thinned to spanning forests; then the alternating large-star and small-star rounds
     of Kiveris et al. run on shuffles alone, each round written to the shared folder, until no edge changes.  The only
-    figures that reach the driver are two sums for each round.  No edges give no rows.
+    figures that reach the driver are two sums for each round: the joins are merged, as a broadcast one would gather its
+    table there.  No edges give no rows.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
     edges = written(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
@@ -181,11 +182,11 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
+        small = down.join(least.hint("merge"), "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         read, edges = edges, written(small.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct(), "edges")
         discard(read)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -160,7 +160,7 @@ def near_links(distinct: DataFrame, distance: int = 3) -> DataFrame:
     fps = distinct.select("fp").repartition(n, "fp")
     stored = map_batches(fps, _key_rows(False), "key long, fp long").withColumnRenamed("fp", "a")
     looked = map_batches(fps, _key_rows(True), "key long, fp long").withColumnRenamed("fp", "b")
-    pairs = stored.join(looked, "key").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
+    pairs = stored.join(looked.hint("merge"), "key").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
     return pairs.select("a", "b").distinct()
 
 
@@ -169,15 +169,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3, id_col
 
     Equal fingerprints form one class that is stored and looked up once, so copies cost no pairs.  Null or empty texts
     have fingerprint zero and are linked like any other.  component_id is the smallest id of the component, null only if it
-    has none; repeated rows stay.
+    has none; repeated rows stay.  No join is broadcast, as that would gather a table as large as the corpus has links on the driver.
     """
     fps = written(fingerprints(docs, shingle, id_col, text_col), "fps")
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     found = components(near_links(classes, distance).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    grouped = written(classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "grouped")
+    grouped = written(classes.join(found.hint("merge"), classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("component")), "grouped")
     least = grouped.groupBy("component").agg(F.min("first").alias("component_id"))
     # a fingerprint that a third of all rows share is split by the adaptive skew join
-    out = fps.join(grouped.join(least, "component").select("fp", "component_id"), "fp")
+    ids = grouped.join(least.hint("merge"), "component").select("fp", "component_id")
+    out = fps.join(ids.hint("merge"), "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from quillon.llm import anchors, decontaminate, language, licences, media, packing, sharding, simhash, suffix_tree, suffixes, toxicity
+from quillon.llm import anchors, common, decontaminate, language, licences, media, packing, sharding, simhash, suffix_tree, suffixes, toxicity
 from quillon.llm.common import components
 
 EXTRA = "doc_id long, text string, lang string, score double, n_words long, key long, starts string"
@@ -64,6 +64,22 @@ def test_simhash(spark, awkward):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 3, 4, 5, 8, 9, 10]
 
 
+def test_near_duplicates_gather_no_table_on_the_driver(spark, monkeypatch):
+    """Tables this small are broadcast wherever Spark is free to."""
+    plans = []
+
+    def noted(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return common.written(df, tag)
+
+    monkeypatch.setattr(simhash, "written", noted)
+    rows = [(i, f"a b c d e f g h i j k l m n o p q r s t {'x' if i % 3 else 'y'}") for i in range(60)]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    links = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
+    plans += [x._jdf.queryExecution().executedPlan().toString() for x in (found, links)]
+    assert len(plans) == 5 and not [x for x in plans if "Broadcast" in x]
+
+
 def made_words(rng, n):
     return [f"w{x}" for x in rng.integers(0, 1_000_000, n)]
 
