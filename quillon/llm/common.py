@@ -43,6 +43,17 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+
+
+def leave_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete what lies there by now when the application ends."""
+    files, target = _filesystem(spark, path)
+    files.deleteOnExit(target)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
@@ -50,10 +61,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     left goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillon-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    path = shared_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    files, target = _filesystem(spark, path)
-    files.deleteOnExit(target)
+    leave_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out

@@ -57,8 +57,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
-    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    rows = sharding.stored(sharding.shard_documents(table(spark, sf_dir, "documents"), 40))
+    text = F.coalesce("text", F.lit(""))
+    size, crc = (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    return rows.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -287,6 +287,27 @@ def test_sharding(spark, awkward):
     assert sharding.shard_documents(empty(spark), 4).count() == 0
 
 
+def test_shards_hold_whole_texts_in_slot_order(spark, awkward):
+    """Repeated rows, null and long texts, an id beyond a double's digits beside a null one."""
+    docs = awkward.select("doc_id", "text").unionByName(spark.createDataFrame([((1 << 60) + 1, "far"), (3, "a")], "doc_id long, text string"))
+    shards = sharding.stored(sharding.shard_documents(docs, 4, bucket_rows=3))
+    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "")
+    assert sorted(map(key, shards.collect())) == sorted(map(key, docs.collect()))
+    for k in range(4):
+        assert [r.slot for r in sharding.read_shard(spark, shards.table_path, k).collect()] == list(range(3 + (k < 3)))
+    assert sharding.stored(sharding.shard_documents(empty(spark), 4)).count() == 0
+
+
+def test_buckets_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_BYTES", 4000)
+    docs = spark.createDataFrame([(i, "é" * 484) for i in range(40)], "doc_id long, text string")  # 984 bytes each
+    seen = []
+    monkeypatch.setattr(sharding, "written", lambda df, tag: seen.append((tag, out := common.written(df, tag))) or out)
+    rows = sharding.shard_documents(docs, 3).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(40))
+    assert 5 <= dict(seen)["starts"].count() <= 10
+
+
 def test_decontamination(spark, awkward):
     items = spark.createDataFrame([(1, " ".join(f"Shared{i}" for i in range(5, 20))), (2, "mit license"), (3, None), (4, "!")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(awkward, items).collect()}
