@@ -178,16 +178,44 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges of one task."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 10_000):
+        part = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["node", "component"])
+
+
+#: Edges, after thinning, that one task joins; more of them take rounds of shuffles, to the same result.
+ONE_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of long pairs (u, v): rows (node, component), the smallest node reachable; linked nodes only.
 
     Batches of edges are first thinned to spanning forests; then the alternating large-star and small-star rounds
-    of Kiveris et al. run on shuffles alone, each round written to the shared folder, until no edge changes.  The only
+    of Kiveris et al. run on shuffles alone, each round written to the shared folder, until no edge changes; few edges are
+    joined by one task instead, as every round costs the driver a dozen stages.  The only
     figures that reach the driver are two sums for each round: the joins are merged, as a broadcast one would gather its
     table there.  No edges give no rows.
     """
     edges = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
     edges = written(edges.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    if edges.count() <= ONE_TASK:
+        read, joined = edges, written(edges.coalesce(1).mapInArrow(_joined, "node long, component long"), "joined")
+        discard(read)
+        return joined
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -248,16 +248,20 @@ def common_shingles(src: DataFrame, shingle: int, sampled: int = 20_000, most: i
     return found["key"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
 
 
-def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints: list[np.ndarray], similarity: float, groups: np.ndarray | None = None) -> np.ndarray:
-    """Two rows of numbers: pairs of rows, sorted by key, that can be similar.
+def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints: list[np.ndarray], similarity: float, groups: np.ndarray, whole: bool = False) -> np.ndarray:
+    """Two rows of numbers: pairs of rows, sorted by key, of two ``groups`` that can be similar.
 
-    Without ``groups`` a spanning forest of each key's pairs, closest prints first; with them every pair between two groups.
+    A spanning forest of each key's groups, closest prints first; or, if ``whole``, every such pair.
 
     A pair cannot be if the sets' sizes, the shingles left behind the key's ``places`` in their orders, or the bits in which
     the parity prints differ leave too few in common; no similar pair is dropped at the first shingle that it shares.
     """
     ends = np.append(np.flatnonzero(keys[1:] != keys[:-1]) + 1, len(keys))
     left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(keys))  # rows of the key from here on
+    run = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+    order = np.lexsort((groups, run))
+    label = np.empty(len(keys), np.int64)  # of a group under one key
+    label[order] = np.cumsum(np.append(False, (run[order][1:] != run[order][:-1]) | (groups[order][1:] != groups[order][:-1])))
     after = sizes - places
     parent: dict[int, int] = {}
     out, held, count = [], [], 0
@@ -273,7 +277,7 @@ def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints:
             i, o, d = (np.concatenate(c) for c in zip(*held))
             at = np.argsort(d, kind="stable")
             for x, y in zip(i[at].tolist(), (i + o)[at].tolist()):
-                a, b = find(x), find(y)
+                a, b = find(int(label[x])), find(int(label[y]))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
                     out.append((x, y))
@@ -288,18 +292,16 @@ def close_rows(keys: np.ndarray, sizes: np.ndarray, places: np.ndarray, prints:
         both = sizes[at] + sizes[to]
         need = np.ceil(similarity / (1 + similarity) * both - 1e-9).astype(np.int64)
         d = sum(np.bitwise_count(p[at] ^ p[to]).astype(np.int64) for p in prints)
-        ok = (d <= both - 2 * need) & (np.minimum(after[at], after[to]) >= need)
-        if groups is not None:
-            ok &= groups[at] != groups[to]
+        ok = (d <= both - 2 * need) & (np.minimum(after[at], after[to]) >= need) & (groups[at] != groups[to])
         if ok.any():
             held.append((at[ok], np.full(int(ok.sum()), offset), d[ok]))
             count += int(ok.sum())
-        if count >= 500_000 and groups is None:
+        if count >= 500_000 and not whole:
             settle()
             count = 0
         offset += 1
         at = at[left[at] > offset]
-    if groups is not None:
+    if whole:
         return every()
     settle()
     return np.array(out, np.int64).reshape(-1, 2).T
@@ -377,11 +379,25 @@ def passing(pairs: DataFrame, sets: DataFrame, test: Callable[[np.ndarray, np.nd
     return out
 
 
+def fingerprint_pairs(prints: DataFrame, distance: int = 3) -> DataFrame:
+    """Pairs (d, d_), d < d_, of texts (d, fp) whose fingerprints the Golay keys link.
+
+    A link of two fingerprints is that of their first texts, and texts of one fingerprint are each paired with its first: chains of
+    pairs connect what near_duplicates does, whatever the number of texts under a fingerprint.
+    """
+    classes = written(prints.groupBy("fp").agg(F.min("d").alias("first")), "classes")
+    same = prints.join(classes.hint("merge"), "fp").select(F.col("first").alias("x"), F.col("d").alias("y"))
+    ends = [classes.select(F.col("fp").alias(k), F.col("first").alias(name)).hint("merge") for k, name in (("a", "x"), ("b", "y"))]
+    near = near_links(classes, distance).join(ends[0], "a").join(ends[1], "b").select("x", "y")
+    return same.unionByName(near).filter("x <> y").select(F.least("x", "y").alias("d"), F.greatest("x", "y").alias("d_"))
+
+
 def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text_col: str = "text") -> DataFrame:
     """(d, component): texts (by XXH64 of their lower-cased words) that chains of similar texts connect.
 
     A link is a pair whose sets of ``shingle`` words have a Jaccard similarity of ``similarity`` or more, verified exactly.
-    Candidates share a shingle of their prefixes, which every such pair does; pairs whose wide prints differ in too many bits leave
+    The first candidates are the pairs whose fingerprints, as those of near_duplicates, the Golay keys link; those verified make groups.
+    As similar sets may have fingerprints farther apart, an exact search between the groups follows.  Its candidates share a shingle of their prefixes, which every such pair does; pairs whose wide prints differ in too many bits leave
     before their sets are made.  Of the candidates of one key a
     spanning forest, closest pairs first, is verified: a group of m near copies costs m - 1 verifications a key.  Then every
     other candidate pair is verified whose texts are still apart, so no link between two components is left.
@@ -400,8 +416,9 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         v = np.frombuffer(b"".join(map(parity_print, sets)), ">i8").astype(np.int64).reshape(-1, 3)
         first = listed([prefix(s, *common.value, similarity) for s in sets])
         wide = listed([wide_print(s) for s in sets])
-        cols = [pa.array([same_words(x) for x in t], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v[:, k]) for k in range(3)), wide, first]
-        return pa.RecordBatch.from_arrays(cols, ["d", "n", "v0", "v1", "v2", "w", "s"])
+        fps = pa.array(np.array([simhash(x) for x in t], np.uint64).view(np.int64))
+        cols = [pa.array([same_words(x) for x in t], pa.int64()), fps, pa.array([len(s) for s in sets], pa.int64()), *(pa.array(v[:, k]) for k in range(3)), wide, first]
+        return pa.RecordBatch.from_arrays(cols, ["d", "fp", "n", "v0", "v1", "v2", "w", "s"])
 
     def links(pairs: DataFrame) -> DataFrame:
         """The similar ones of the pairs.  Whole sets are made for the texts of pairs whose wide prints are alike, alone."""
@@ -423,15 +440,14 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         return near
 
     # copies of a text leave here; the rest is one row for each different text
-    every = written(map_batches(src, prefixes, "d long, n long, v0 long, v1 long, v2 long, w array<long>, s array<long>").dropDuplicates(["d"]), "prefixes")
+    every = written(map_batches(src, prefixes, "d long, fp long, n long, v0 long, v1 long, v2 long, w array<long>, s array<long>").dropDuplicates(["d"]), "prefixes")
 
-    def linked(batches):
+    def linked(batches, whole: bool):
         held: list[pa.RecordBatch] = []
 
         def pairs(rows: pa.Table):
-            key, d, sizes, places, *v = (rows.column(c).to_numpy() for c in ("key", "d", "n", "i", "v0", "v1", "v2"))
-            groups = rows.column("c").to_numpy() if "c" in rows.column_names else None
-            x, y = close_rows(key, sizes, places, [x.view(np.uint64) for x in v], similarity, groups)
+            key, d, groups, sizes, places, *v = (rows.column(c).to_numpy() for c in ("key", "d", "c", "n", "i", "v0", "v1", "v2"))
+            x, y = close_rows(key, sizes, places, [x.view(np.uint64) for x in v], similarity, groups, whole)
             if len(x):
                 both = np.stack([np.minimum(d[x], d[y]), np.maximum(d[x], d[y])])[:, np.lexsort((np.maximum(d[x], d[y]), np.minimum(d[x], d[y])))]
                 both = both[:, np.append(True, (both[:, 1:] != both[:, :-1]).any(0))]
@@ -447,27 +463,34 @@ def similar_texts(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, te
         if held:
             yield from pairs(pa.Table.from_batches(held))
 
-    def candidates(prefixes: DataFrame) -> DataFrame:
-        rows = prefixes.select(*(c for c in prefixes.columns if c not in ("w", "s")), F.posexplode("s").alias("i", "key"))
-        return rows.repartition(n, "key").sortWithinPartitions("key", "d").mapInArrow(linked, "d long, d_ long").distinct()
+    def candidates(groups: DataFrame, how: str, whole: bool = False) -> DataFrame:
+        """Pairs between the groups (d, c); by a left join texts in none are groups of their own."""
+        rows = every.drop("fp", "w").join(groups.hint("merge"), "d", how).withColumn("c", F.coalesce("c", "d"))
+        rows = rows.select(*(c for c in rows.columns if c != "s"), F.posexplode("s").alias("i", "key"))
+        return rows.repartition(n, "key").sortWithinPartitions("key", "d").mapInArrow(lambda batches: linked(batches, whole), "d long, d_ long").distinct()
 
-    pairs = written(candidates(every), "pairs")
+    prints = written(fingerprint_pairs(every.select("d", "fp")), "prints")
+    release(spark)
+    sure = links(prints)
+    first = components(as_edges(sure)).select(F.col("node").alias("d"), F.col("component").alias("c"))
+    first = written(first, "first")
+    pairs = written(candidates(first, "left"), "pairs")
     release(spark)
-    ends = pairs.select(F.explode(F.array("d", "d_")).alias("d")).distinct()
+    ends = pairs.select(F.explode(F.array("d", "d_")).alias("d")).unionByName(first.select("d")).distinct()
     near = links(pairs)
-    found = components(as_edges(near))
+    found = components(as_edges(sure.unionByName(near)))
     group = written(ends.join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("c")), "groups")
     release(spark)
     apart = pairs.join(group, "d").join(group.select(F.col("d").alias("d_"), F.col("c").alias("c_")), "d_").filter("c <> c_")
     if not apart.isEmpty():
         # where all pairs of a key's forest are linked, so are all its texts: the others' texts are among ``ends``
-        rest = written(candidates(every.join(group, "d")).join(pairs, ["d", "d_"], "left_anti"), "rest")
+        rest = written(candidates(group, "inner", True).join(pairs.unionByName(prints), ["d", "d_"], "left_anti"), "rest")
         release(spark)
         more = links(rest)
-        found = components(as_edges(near.unionByName(more)))
+        found = components(as_edges(sure.unionByName(near).unionByName(more)))
         discard(rest, more)
     out = written(every.select("d").join(found, F.col("d") == F.col("node"), "left").select("d", F.coalesce("component", "d").alias("component")), "similar")
-    discard(every, pairs, near, group)
+    discard(every, prints, sure, first, pairs, near, group)
     common.unpersist()
     return out
 

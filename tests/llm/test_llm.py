@@ -32,6 +32,18 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
 
 
+@pytest.mark.parametrize("one_task", [0, 10**6])
+def test_components_in_rounds_and_in_one_task(spark, monkeypatch, one_task):
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
+    rng = np.random.default_rng(2)
+    pairs = [tuple(p) for p in rng.integers(-400, 400, (500, 2)).tolist()] + [(-(1 << 63), (1 << 63) - 1)]
+    group = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for a, b in (p for p in pairs if p[0] != p[1]):
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = {k: new if g == old else g for k, g in group.items()}
+    assert {r.node: r.component for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()} == group
+
+
 def test_golay_keys_find_every_close_pair():
     rng = np.random.default_rng(3)
     u = rng.integers(0, 2**63, 3000, dtype=np.uint64)
@@ -73,6 +85,7 @@ def test_near_duplicates_gather_no_table_on_the_driver(spark, monkeypatch):
         return common.written(df, tag)
 
     monkeypatch.setattr(simhash, "written", noted)
+    monkeypatch.setattr(common, "ONE_TASK", 0)
     rows = [(i, f"a b c d e f g h i j k l m n o p q r s t {'x' if i % 3 else 'y'}") for i in range(60)]
     found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     links = components(spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long"))
@@ -156,6 +169,30 @@ def test_links_behind_a_failed_pair_are_found(spark, monkeypatch):
     assert kept_of(spark, texts) == list(range(0, 3000, 3))
 
 
+def test_fingerprints_link_near_copies_first(spark, monkeypatch):
+    """Near copies whose fingerprints differ in few bits are linked by these, and only the others by a search for shared shingles."""
+    tables = {}
+
+    def noted(df, tag):
+        out = common.written(df, tag)
+        tables.setdefault(tag, []).extend(tuple(r) for r in out.collect() if tag in ("prints", "pairs"))
+        return out
+
+    monkeypatch.setattr(simhash, "written", noted)
+    rng = np.random.default_rng(8)
+    texts = []
+    for size in (3000, 24):
+        for _ in range(10):
+            words = made_words(rng, size)
+            texts += [" ".join(words), " ".join([*words[:-1], "other"])]
+    assert kept_of(spark, texts) == list(range(0, 40, 2))
+    keys = [simhash.same_words(t.encode()) for t in texts]
+    copies = {tuple(sorted(keys[i : i + 2])): (brute_simhash(texts[i]) ^ brute_simhash(texts[i + 1])).bit_count() <= 3 for i in range(0, 40, 2)}
+    assert 8 <= sum(copies.values()) < 20
+    assert set(tables["prints"]) == {p for p, close in copies.items() if close}
+    assert set(tables["pairs"]) == {p for p, close in copies.items() if not close}
+
+
 def test_repeats_equal_brute_force(spark, awkward):
     texts = {}
     for r in awkward.collect():
