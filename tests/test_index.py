@@ -1,5 +1,6 @@
 """Parsers, import resolution, the index and packages over a small repository of our own."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +305,17 @@ def test_an_index_follows_a_stream(spark, tmp_path):
         spark.createDataFrame(batch, CHANGE).coalesce(1).write.mode("append").parquet(folder)
         follow(index, folder, str(tmp_path / "checkpoint")).awaitTermination()
     assert [r.name for r in index.table("symbols").collect()] == ["Beta"] and index.table("files").count() == 1
+
+
+def test_imports_alone_are_those_of_a_whole_parse():
+    for language, source in (("php", PHP), ("typescript", TS), ("vue", VUE), ("csharp", CS), ("python", REPO["pkg/a.py"])):
+        whole, some = parsers.parse(language, source), parsers.parse(language, source, symbols=False)
+        assert (some.imports, some.namespace, some.symbols) == (whole.imports, whole.namespace, []) and whole.symbols
+
+
+def test_parsing_holds_a_bounded_piece(spark):
+    made = [pa.RecordBatch.from_pydict({"x": [None, "a" * 900, "", "b" * 200, "c" * 5000, "d"]})]
+    assert [p.num_rows for p in T.pieces(made[0], 0, 1000)] == [3, 1, 1, 1] and pa.Table.from_batches(T.pieces(made[0], 0, 1000)).to_batches()
+    rows = spark.createDataFrame([("a.py", "python", "class Alpha:\n    def go(self):\n        pass\n")] * 3, "path string, language string, content string").coalesce(1)
+    assert [(r.fact, r.name) for r in parsers.facts(rows, "definition", "import").collect()] == [("symbol", "Alpha")] * 3
+    assert parsers.symbols(rows).columns == ["path", "pos", "name", "kind", "signature", "parent", "line_start", "line_end"]
