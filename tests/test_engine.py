@@ -1,4 +1,6 @@
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,14 @@ def test_queries_equal_sql(spark, name):
     cols = sorted(df.columns)
     norm = lambda x: sorted(tuple(str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in x[cols].itertuples(index=False))
     assert norm(df) == norm(con.execute(__spark_entry__.oracle_sql()[name]).df())
+
+
+def test_token_counts_hold_a_bounded_piece(spark, monkeypatch):
+    texts = [None, "", "ab cd", "x" * 50, "12 34\n\n", "é!", " "] * 40
+    seen = []
+    monkeypatch.setattr(T, "PIECE_BYTES", 64)
+    monkeypatch.setattr(T, "count_tokens", lambda data, offsets, f=T.count_tokens: seen.append(len(data)) or f(data, offsets))
+    got = T._token_count.func(pa.array(texts)).to_pylist()
+    whole = T.count_tokens.__defaults__[0]
+    one = lambda t: None if t is None else int(whole(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) if t else 0
+    assert got == [one(t) for t in texts] and max(seen) <= 64 and len(seen) > 40
