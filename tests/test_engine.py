@@ -94,3 +94,16 @@ def test_token_counts_hold_a_bounded_piece(spark, monkeypatch):
     whole = T.count_tokens.__defaults__[0]
     one = lambda t: None if t is None else int(whole(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]) if t else 0
     assert got == [one(t) for t in texts] and max(seen) <= 64 and len(seen) > 40
+
+
+@pytest.mark.parametrize("name", ["token_count", "corpus_totals", "module_rollup", "loc_and_size_gate", "savings", "pack_first_fit", "pack_take_while", "signature_share_cap", "summary_estimate"])
+def test_counts_of_texts_without_pieces_equal_sql(spark, tmp_path, name):
+    texts = ["", None, " ", "a b", "x" * 5000, "\n", "one\x0btwo", "12\x1c", "é" * 3]
+    rows = [(k, t, "en" if k % 2 else None, "s", len(t or "")) for k, t in enumerate(texts * 2)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = __spark_entry__.queries()[name](spark, str(tmp_path)).toPandas()
+    cols = sorted(df.columns)
+    norm = lambda x: sorted(tuple("None" if v != v else str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in x[cols].itertuples(index=False))
+    assert norm(df) == norm(con.execute(__spark_entry__.oracle_sql()[name]).df())
