@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from quillon.functions import paths
 from quillon.functions import text as T
-from quillon.operators import corpus, graph, packing, parsers
+from quillon.operators import corpus, graph, packing, parsers, ranking
 
 SF = "/root/testdata/sf0.001"
 
@@ -107,3 +107,13 @@ def test_counts_of_texts_without_pieces_equal_sql(spark, tmp_path, name):
     cols = sorted(df.columns)
     norm = lambda x: sorted(tuple("None" if v != v else str(round(v, 6)) if isinstance(v, float) else str(v) for v in r) for r in x[cols].itertuples(index=False))
     assert norm(df) == norm(con.execute(__spark_entry__.oracle_sql()[name]).df())
+
+
+def test_postings_are_summed_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a/cart", "cart cart basket"), (2, None, None), (3, "", "cart the")], "doc_id long, path string, text string")
+    made = ranking.postings(rows, "doc_id", F.col("path"), F.col("text"))
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert {(r.doc_id, r.term, r.tf, r.len) for r in made.collect()} == {(1, "cart", 5, 6), (1, "basket", 1, 6), (3, "cart", 1, 1)} and made.filter("first").count() == 2
+    tasks = spark.createDataFrame([(0, "cart basket")], "task_id long, text string")
+    plain = ranking.bm25(made.select("doc_id", "term", "tf"), tasks, "doc_id").collect()
+    assert sorted(plain) == sorted(ranking.bm25(made, tasks, "doc_id", size=made.filter("first").select("doc_id", "len")).collect())
